@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import cutoff, history, packing, runs, tokenizer, topn
+from strandline.llm import canonical, cutoff, history, packing, runs, tokenizer, topn
 from strandline.session import distinct_rows, materialize, table
 
 CONTAINER_TOKENS = 2048
@@ -30,6 +30,30 @@ def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.find_cutoffs(scored, 1, 4).toDF("video_path", "n_scored", "cutoff", "n_kept")
 
 
+def _licences(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_to_entries(
+        table(spark, d, "image_results"),
+        "result_id",
+        "license",
+        table(spark, d, "license_names"),
+        "license_id",
+        ("name", "long_name", "name_vi"),
+        "family",
+        "version",
+        canonical.LICENCE_FILLERS,
+        canonical.LICENCE_ALIASES,
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _licences(spark, d).select("result_id", "license_id")
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    found = _licences(spark, d).filter("license_id = 0")
+    return found.groupBy("license").agg(F.count(F.lit(1)).alias("n_results"))
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(_frames(spark, d), "item_id", "ts", "frame_id", "hash_value")
 
@@ -72,7 +96,7 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_cutoffs, p4_found, p4_runs, p5_found, p5_places, p6_found, p6_ranked, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_unmatched, p4_found, p4_runs, p5_found, p5_places, p6_found, p6_ranked, p7_ids, p8_packed)}
 
 
 _SCORED = """scored AS (

@@ -9,8 +9,11 @@ planner, so a later join broadcasts it only if it is small enough.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +21,22 @@ from pyspark.sql import functions as F
 _SCRATCH_KEY = "strandline.scratch.dir"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, unless PYTHONPATH already does."""
+    package = Path(__file__).resolve().parent
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.conf.get("strandline.shipped", None):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.conf.set("strandline.shipped", "true")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

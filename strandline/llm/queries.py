@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import canonical, cutoff, history, packing, runs, tokenizer, topn
+from strandline.llm import canonical, cutoff, history, mojibake, packing, runs, tokenizer, topn
 from strandline.session import distinct_rows, materialize, table
 
 CONTAINER_TOKENS = 2048
@@ -95,8 +95,16 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER_TOKENS)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_wrong_decoding(_documents(spark, d), "doc_id", "text", only_found=True).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_wrong_decoding(_documents(spark, d), "doc_id", "text", only_found=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_unmatched, p4_found, p4_runs, p5_found, p5_places, p6_found, p6_ranked, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p2_found, p2_cutoffs, p3_found, p3_unmatched, p4_found, p4_runs, p5_found, p5_places, p6_found, p6_ranked, p7_ids, p8_packed, p9_found, p9_restored)}
 
 
 _SCORED = """scored AS (

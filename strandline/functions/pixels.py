@@ -59,7 +59,7 @@ def motion_blur(gray: np.ndarray) -> float:
 
 def difference_hash(gray: np.ndarray) -> int:
     """64 bits of a 9 by 8 thumbnail, first bit highest, as a signed number."""
-    small = resize_area(gray, 9, 8)
+    small = np.rint(resize_area(gray, 9, 8))  # whole grey levels, so that rounding noise sets no bits
     bits = np.packbits((small[:, 1:] > small[:, :-1]).reshape(-1))
     return int(np.frombuffer(bits.tobytes(), ">i8")[0])
 

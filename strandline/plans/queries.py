@@ -755,7 +755,7 @@ def label_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT source, list_sort(list_distinct(list(lang) FILTER (lang IS NOT NULL))) AS langs FROM documents WHERE source IS NOT NULL GROUP BY source"""
+    r"""SELECT source, coalesce(list_sort(list_distinct(list(lang) FILTER (lang IS NOT NULL))), CAST([] AS VARCHAR[])) AS langs FROM documents WHERE source IS NOT NULL GROUP BY source"""
 )
 def distinct_settings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("source IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))

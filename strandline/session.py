@@ -96,8 +96,10 @@ def distinct_rows(df: DataFrame, key: str) -> DataFrame:
     other keys pass through, and the rows of repeated keys are made distinct.  Two rows
     that share a key but differ elsewhere both stay.  A null key counts as a value.
     """
-    repeated = materialize(
-        df.groupBy(F.col(key).alias("_rk")).agg(F.count(F.lit(1)).alias("_rn")).filter("_rn > 1").select("_rk"), "repeated"
-    )
-    on = F.col(key).eqNullSafe(F.col("_rk"))
+    name = "_repeated"
+    while name in df.columns:
+        name += "_"
+    counted = df.groupBy(F.col(key).alias(name)).agg(F.count(F.lit(1)).alias(f"{name}n"))
+    repeated = materialize(counted.filter(F.col(f"{name}n") > 1).select(name), "repeated")
+    on = F.col(key).eqNullSafe(F.col(name))
     return df.join(repeated, on, "left_anti").unionByName(df.join(repeated, on, "left_semi").distinct())

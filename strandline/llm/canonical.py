@@ -10,8 +10,9 @@
 4. Soft TF-IDF ranks complete entries: a concept weighs its inverse document frequency in the list times the
    likeness of the repaired words.  An entry is complete if all concepts common to its names are there.
    Entries that need a word from a remark in brackets give way to entries that do not.
-5. The best complete entry stands if no other complete entry holds a concept it lacks, and if the version
-   agrees: the one stated, or none if only one entry is left.  Otherwise the value settles on nothing: 0.
+5. The best complete entry stands if no other complete entry holds a concept it lacks, if the value holds
+   no concept of its kin (entries that share a concept with it) that it lacks, and if the version agrees:
+   the one stated, or none if only one entry is left.  Otherwise the value settles on nothing: 0.
 
 Words that no entry knows are remarks and do not count.  Null and blank values give no row; every other row
 of the input gives one.  An empty reference list leaves everything unmatched.
@@ -263,19 +264,27 @@ def match_values(values: DataFrame, lexicon: Lexicon) -> DataFrame:
     read = materialize(
         per_value.mapInArrow(_concepts_of_values(lexicon), "value string, concepts array<string>, likes array<double>, asides array<int>, versions array<string>"), "concepts"
     )
-    rows = [(e, c, lexicon.weight[c], list(req), lexicon.version[e]) for e, req in lexicon.required.items() for c in req]
-    entries = spark.createDataFrame(rows, "entry long, concept string, weight double, required array<string>, version string")
-    tokens = read.select("value", "versions", F.explode(F.arrays_zip("concepts", "likes", "asides")).alias("x"))
-    tokens = tokens.select("value", "versions", F.col("x.concepts").alias("concept"), F.col("x.likes").alias("like"), F.col("x.asides").alias("aside"))
+    # Concepts of the entries that share one with this entry: a value that holds another of them means another thing.
+    kin: dict[str, set[str]] = defaultdict(set)
+    for req in lexicon.required.values():
+        for c in req:
+            kin[c].update(req)
+    related = {req: sorted(set().union(*[kin[c] for c in req]) - set(req)) for req in set(lexicon.required.values())}
+    rows = [(e, c, lexicon.weight[c], list(req), related[req], lexicon.version[e]) for e, req in lexicon.required.items() for c in req]
+    entries = spark.createDataFrame(rows, "entry long, concept string, weight double, required array<string>, related array<string>, version string")
+    zipped = F.arrays_zip("concepts", "likes", "asides")
+    mains = F.transform(F.filter(zipped, lambda x: x["asides"] == 0), lambda x: x["concepts"])
+    tokens = read.select("value", "versions", mains.alias("mains"), F.explode(zipped).alias("x"))
+    tokens = tokens.select("value", "versions", "mains", F.col("x.concepts").alias("concept"), F.col("x.likes").alias("like"), F.col("x.asides").alias("aside"))
     complete = (
         tokens.join(entries, "concept")
-        .groupBy("value", "entry", "required", "version", "versions")
+        .groupBy("value", "entry", "required", "related", "version", "versions", "mains")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * F.col("like")).alias("score"), F.sum("aside").alias("asides"))
         .filter(F.col("n") == F.size("required"))
     )
     # Entries that rest on a remark in brackets count only if no others are complete.
-    ranked = complete.groupBy("value", "versions").agg(
-        F.collect_list(F.struct("score", "required", "entry", "version", "asides")).alias("all"), F.min("asides").alias("fewest")
+    ranked = complete.groupBy("value", "versions", "mains").agg(
+        F.collect_list(F.struct("score", "required", "entry", "version", "asides", "related")).alias("all"), F.min("asides").alias("fewest")
     )
     ranked = ranked.withColumn("all", F.filter("all", lambda x: x["asides"] == F.col("fewest")))
     best = F.array_max(F.col("all"))
@@ -287,7 +296,8 @@ def match_values(values: DataFrame, lexicon: Lexicon) -> DataFrame:
         lambda x: ((F.size("versions") == 0) & (F.size("group") == 1)) | ((F.size("versions") == 1) & x["version"].eqNullSafe(F.try_element_at("versions", F.lit(1)))),
     )
     ranked = ranked.withColumn("rivals", rivals).withColumn("group", group).withColumn("one", one)
-    settled = ranked.filter(~F.col("rivals") & (F.size("one") == 1)).select("value", F.col("one")[0]["entry"].alias("entry"), F.col("one")[0]["score"].alias("score"))
+    strange = F.arrays_overlap(F.array_except("mains", F.col("best.required")), F.col("best.related"))
+    settled = ranked.filter(~F.col("rivals") & ~strange & (F.size("one") == 1)).select("value", F.col("one")[0]["entry"].alias("entry"), F.col("one")[0]["score"].alias("score"))
     return values.join(settled, "value", "left").select("value", F.coalesce("entry", F.lit(0)).alias("entry"), "score")
 
 

@@ -45,7 +45,7 @@ _N_WRONG = len(WRONG)
 _UTF16, _LOST = len(STATES) - 2, len(STATES) - 1
 
 _ENTER_UTF8, _ENTER_OTHER, _LEAVE, _CHANGE = 4.0, 5.0, 1.0, 6.0
-_NEVER = 1000.0
+_NEVER = 1e12
 _IMPLAUSIBLE = 14.0
 _CACHE = 200_000
 
@@ -173,6 +173,8 @@ def _meaning_cost(y: str) -> float:
         return 3.5
     if 0x1100 <= o < 0x1200 or 0xFF00 <= o < 0xFF61 or 0x1F000 <= o < 0x1FB00 or o in (0xFE0F, 0x200D):
         return 3.5
+    if y in _BYTES["cp1252"]:
+        return 4.5  # part of a sequence that is itself garbled
     return _IMPLAUSIBLE
 
 
@@ -221,7 +223,7 @@ def emissions(before: str, run: str, after: str) -> tuple[np.ndarray, list[str |
             continue
         best = [0.0] * (n + 1)
         back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-        best[1:] = [_NEVER * n] * n
+        best[1:] = [_NEVER] * n
         units = False
         for k in range(n):
             if best[k] + clean[k] + 2.0 < best[k + 1]:
@@ -414,6 +416,8 @@ def find_wrong_decoding(df: DataFrame, id_col: str, text_col: str, only_found: b
 
     The restored text is null where nothing was found, so that clean texts are not copied.
     """
+    if id_col in ("states", "n_stretches", "restored"):
+        raise ValueError("id_col has the name of a result column")
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

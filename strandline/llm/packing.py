@@ -125,6 +125,8 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     """id, piece, start, size, container and container_fill of every piece of ``sizes``."""
     if not 1 <= capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must lie between 1 and {MAX_CAPACITY}")
+    if id_col in ("piece", "start", "size", "container", "container_fill"):
+        raise ValueError("id_col has the name of a result column")
     pieces = split_into_pieces(sizes, id_col, size_col, capacity)
     counted = materialize(
         pieces.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(1 << 20))), "pieces"

@@ -6,7 +6,7 @@ predecessor: the next boundary ends a run, the difference of their positions is
 before the next boundary gives its end.  The first and the last run of each partition may go on beside it;
 these fragments, two to a partition, are stitched afterwards.
 
-Defined cases: events without a sequence or with a null or zero hash take no part; rows repeated whole
+Defined cases: events without a sequence or an id, or with a null or zero hash, take no part; rows repeated whole
 count once; events order by time (null first, NaN last), then id; the duration is the difference of the
 times of the last and the first event (null if either is null).
 """

@@ -108,3 +108,25 @@ def near_pairs(df: DataFrame, stream: str, hash_col: str, max_bits: int) -> Data
     bits = vectors.hamming(F.col("hash_a"), F.col("hash_b"))
     pairs = a.join(b, [stream, "_key"]).filter((F.col("hash_a") < F.col("hash_b")) & (bits <= max_bits))
     return pairs.select(stream, "hash_a", "hash_b", "n_a", "n_b", bits.alias("bits")).distinct()
+
+
+def unique_names(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
+    """Names made unique in ``order``: the first keeps its name, the others get _01, _02, ... before the suffix."""
+    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    return df.withColumn("_k", k).withColumn(out, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.format_string("_%02d", F.col("_k")), suffix))).drop("_k")
+
+
+def contained_match(files: DataFrame, name: str, entries: DataFrame, entry: str, max_entries: int = 10_000) -> DataFrame:
+    """The first entry, in order, that each name contains; the first of all entries if it contains none.
+
+    Entries are a list of at most ``max_entries``, which becomes part of the expression.
+    """
+    values = [r[0] for r in entries.select(entry).filter(F.col(entry).isNotNull()).distinct().orderBy(entry).limit(max_entries + 1).collect()]
+    if len(values) > max_entries:
+        raise ValueError(f"more than {max_entries} entries")
+    if not values:
+        return files.withColumn("match", F.lit(None).cast("string"))
+    listed = F.array(*[F.lit(v) for v in values])
+    hits = F.filter(listed, lambda v: F.col(name).contains(v))
+    return files.withColumn("match", F.when(F.size(hits) > 0, hits[0]).otherwise(values[0]))

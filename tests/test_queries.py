@@ -3,6 +3,7 @@ import os
 import pytest
 
 from strandline.plans import queries as core
+from strandline.plans import utilities  # noqa: F401
 from tests.compare import connection, rows_of, rows_of_sql
 from tests.conftest import SMALL
 
@@ -22,6 +23,18 @@ def test_query_equals_sql(spark, con, name):
     assert got == expected
 
 
+@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
+def test_query_runs(spark, name):
+    assert core.queries()[name](spark, SMALL).count() > 0
+
+
+def test_name_based_ids(spark):
+    import uuid
+
+    for r in core.queries()["name_based_ids"](spark, SMALL).collect():
+        assert r["stable_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, f"queue:{r['job_id']}:{r['position']}"))
+
+
 def test_entry(spark):
     import __spark_entry__
 

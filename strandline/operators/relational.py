@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import vectors
 from strandline.session import materialize
 
 
@@ -45,7 +46,7 @@ def evict(df: DataFrame, age: str, tie: str, size: str, quota: int, cutoff: Colu
     may_go = df if cutoff is None else df.filter(F.col(age) < cutoff)
     total = (df if count_all else may_go).agg(F.coalesce(F.sum(size), F.lit(0)).alias("_sum"))
     summed = prefix_sum(may_go, (age, tie), size, "freed_before")
-    return summed.join(F.broadcast(total)).filter(F.col("_sum") - F.col("freed_before") > quota).drop("_sum")
+    return summed.filter(total.scalar() - F.col("freed_before") > quota)
 
 
 def list_difference(listed: DataFrame, present: DataFrame, key: str) -> DataFrame:
@@ -97,17 +98,19 @@ def near_pairs(df: DataFrame, stream: str, hash_col: str, max_bits: int) -> Data
     Copies of a hash are one representative, so they are never paired with each other.  The join is on two
     equal bytes, of which hashes within 6 bits have at least one choice.
     """
-    from strandline.functions import vectors
-
     if max_bits > 6:
         raise ValueError("pairs of equal bytes are complete up to 6 bits only")
     h = df.filter(F.col(stream).isNotNull() & F.col(hash_col).isNotNull()).groupBy(stream, hash_col).agg(F.count(F.lit(1)).alias("n"))
     keyed = h.select(stream, hash_col, "n", F.explode(vectors.pair_keys(F.col(hash_col))).alias("_key"))
+    # Of the keys that a pair shares only the first, that of its first two equal bytes, gives the pair.
+    byte = lambda o: F.call_function("shiftrightunsigned", F.col("hash_a").bitwiseXOR(F.col("hash_b")), o * 8).bitwiseAND(F.lit(255))
+    equal = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda o: byte(o) == 0)
+    first = F.shiftright(F.col("_key"), 16) == equal[0] * 8 + equal[1]
     a = keyed.select(stream, "_key", F.col(hash_col).alias("hash_a"), F.col("n").alias("n_a"))
     b = keyed.select(stream, "_key", F.col(hash_col).alias("hash_b"), F.col("n").alias("n_b"))
     bits = vectors.hamming(F.col("hash_a"), F.col("hash_b"))
-    pairs = a.join(b, [stream, "_key"]).filter((F.col("hash_a") < F.col("hash_b")) & (bits <= max_bits))
-    return pairs.select(stream, "hash_a", "hash_b", "n_a", "n_b", bits.alias("bits")).distinct()
+    pairs = a.join(b, [stream, "_key"]).filter((F.col("hash_a") < F.col("hash_b")) & (bits <= max_bits)).filter(first)
+    return pairs.select(stream, "hash_a", "hash_b", "n_a", "n_b", bits.alias("bits"))
 
 
 def unique_names(df: DataFrame, name: str, order: str, out: str) -> DataFrame:

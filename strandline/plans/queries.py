@@ -454,7 +454,7 @@ def stale_jobs(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "jobs")
     now = j.agg(F.max("heartbeat_at").alias("now"))
     last = j.filter(F.col("state").isin("running", "queued")).groupBy("job_id").agg(F.max("heartbeat_at").alias("last_heartbeat"))
-    return last.join(F.broadcast(now)).filter(F.col("last_heartbeat") < F.col("now") - 300).select("job_id", "last_heartbeat")
+    return last.filter(F.col("last_heartbeat") < now.scalar() - 300)
 
 
 @query(
@@ -560,7 +560,7 @@ def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
     done = latest_states(spark, d).filter("finished_at IS NOT NULL AND started_at IS NOT NULL AND attempts IS NOT NULL")
     x = done.groupBy("attempts").agg(F.avg(F.col("finished_at") - F.col("started_at")).alias("s"))
     base = x.agg(F.min_by("s", "attempts").alias("base"))
-    return x.join(F.broadcast(base)).select("attempts", F.round("s", 4).alias("seconds"), F.round(F.col("base") / F.col("s"), 4).alias("speed_up"))
+    return x.select("attempts", F.round("s", 4).alias("seconds"), F.round(base.scalar() / F.col("s"), 4).alias("speed_up"))
 
 
 @query(

@@ -92,7 +92,7 @@ def search_rows(df: DataFrame, payload: str, source: str) -> DataFrame:
 def primary_or_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """The rows of ``primary``, or those of ``fallback`` if it has none."""
     n = primary.limit(1).agg(F.count(F.lit(1)).alias("_n"))
-    return primary.unionByName(fallback.join(F.broadcast(n)).filter("_n = 0").drop("_n"))
+    return primary.unionByName(fallback.filter(n.scalar() == 0))
 
 
 def page_images(df: DataFrame, key: str, html: str) -> DataFrame:

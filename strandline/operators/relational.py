@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors
+from strandline.operators import ranged
 from strandline.session import materialize
 
 
@@ -115,9 +116,9 @@ def near_pairs(df: DataFrame, stream: str, hash_col: str, max_bits: int) -> Data
 
 def unique_names(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
     """Names made unique in ``order``: the first keeps its name, the others get _01, _02, ... before the suffix."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
     stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return df.withColumn("_k", k).withColumn(out, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.format_string("_%02d", F.col("_k")), suffix))).drop("_k")
+    numbered = ranged.running_sum(df, name, [F.asc(order)], _k=F.lit(1)).withColumn("_k", F.col("_k") - 1)
+    return numbered.withColumn(out, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.format_string("_%02d", F.col("_k")), suffix))).drop("_k")
 
 
 def contained_match(files: DataFrame, name: str, entries: DataFrame, entry: str, max_entries: int = 10_000) -> DataFrame:

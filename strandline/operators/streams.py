@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.fold import ordered_fold
 from strandline.functions import vectors
+from strandline.operators import ranged
+from strandline.operators.fold import ordered_fold
 
 EPSILON = 1e-6
 
@@ -74,15 +75,14 @@ def short_refill(meta: DataFrame, stream: str, first: Column, end: Column, step_
 def match_targets(targets: DataFrame, frames: DataFrame, stream: str, ts: str, tie: str) -> DataFrame:
     """The first frame at or after each target; targets beyond the last frame get none.
 
-    Targets and frames are sorted together, latest first, and the last frame seen is carried along:
-    one shuffle, no join of all pairs, and constant memory whatever the length of a stream.
+    Targets and frames are sorted together, latest first, and the last frame seen is carried along, so
+    there is no join of all pairs, and a long stream spreads over many tasks.
     """
     a = targets.select(stream, F.col("target").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_id"), "k")
     b = frames.select(stream, (F.col(ts) + EPSILON).alias("_t"), F.lit(0).alias("_kind"), F.col(tie).alias("_id"), F.lit(None).cast("int").alias("k"))
     # At equal times a frame serves the target, so it is met before it.
-    w = Window.partitionBy(stream).orderBy(F.desc("_t"), F.asc("_kind"), F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("_kind") == 0, F.struct("_id", "_t")), ignorenulls=True).over(w)
-    out = a.unionByName(b).withColumn("_hit", seen).filter("_kind = 1")
+    order = [F.desc("_t"), F.asc("_kind"), F.desc("_id"), F.asc("k")]
+    out = ranged.running_last(a.unionByName(b), stream, order, _hit=F.when(F.col("_kind") == 0, F.struct("_id", "_t"))).filter("_kind = 1")
     return out.select(stream, "k", F.col("_t").alias("target"), F.col("_hit._id").alias(tie), F.round(F.col("_hit._t") - EPSILON, 6).alias(ts))
 
 
@@ -115,9 +115,8 @@ def nearest(points: DataFrame, choices: DataFrame, stream: str, at: str, choice:
             c = c.withColumn(name, F.lit(None).cast(dict(points.dtypes)[name]))
     c = c.withColumn("_kind", F.lit(0)).select(*p.columns)
     mark = F.when(F.col("_kind") == 0, F.col("_t"))
-    up = Window.partitionBy(stream).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(stream).orderBy(F.desc("_t"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(c).withColumn("_before", F.last(mark, True).over(up)).withColumn("_after", F.last(mark, True).over(down))
+    both = ranged.running_last(p.unionByName(c), stream, [F.asc("_t"), F.asc("_kind")], _before=mark)
+    both = ranged.running_last(both, stream, [F.desc("_t"), F.asc("_kind")], _after=mark)
     pick = F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull(), F.col("_before"))
     pick = pick.when(F.col("_t") - F.col("_before") <= F.col("_after") - F.col("_t"), F.col("_before")).otherwise(F.col("_after"))
     return both.filter("_kind = 1").select(*points.columns, F.coalesce(pick, F.col("_t")).alias("nearest"))
@@ -139,13 +138,14 @@ def rate_limited(frames: DataFrame, stream: str, ts: str, tie: str, fps: float)
 
 def neighbour_change(frames: DataFrame, stream: str, ts: str, tie: str, brightness: str, hash_col: str) -> DataFrame:
     """Change of brightness, hash bits and time against the predecessor in the stream."""
-    w = Window.partitionBy(stream).orderBy(ts, tie)
-    return frames.select(
+    slim = frames.select(stream, ts, tie, F.col(brightness).alias("_b"), F.col(hash_col).alias("_h"))
+    both = ranged.previous(slim, stream, [F.asc(ts), F.asc(tie)], _pb=F.col("_b"), _ph=F.col("_h"), _pt=F.col(ts))
+    return both.select(
         stream,
         tie,
-        F.round(F.abs(F.col(brightness) - F.lag(brightness).over(w)), 6).alias("brightness_change"),
-        vectors.hamming(F.col(hash_col), F.lag(hash_col).over(w)).alias("bits_changed"),
-        F.round(F.col(ts) - F.lag(ts).over(w), 6).alias("gap"),
+        F.round(F.abs(F.col("_b") - F.col("_pb")), 6).alias("brightness_change"),
+        vectors.hamming(F.col("_h"), F.col("_ph")).alias("bits_changed"),
+        F.round(F.col(ts) - F.col("_pt"), 6).alias("gap"),
     )
 
 
@@ -285,8 +285,8 @@ def segment_ids(frames: DataFrame, cuts: DataFrame, stream: str, ts: str, tie: s
     """The segment of each row: the number of cuts up to its time."""
     a = frames.select(stream, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.col(tie))
     b = cuts.filter(F.col("cut").isNotNull()).select(stream, F.col("cut").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias(tie))
-    w = Window.partitionBy(stream).orderBy("_t", "_kind", tie).rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("segment", F.sum(1 - F.col("_kind")).over(w).cast("int")).filter("_kind = 1").select(stream, tie, "segment")
+    both = ranged.running_sum(a.unionByName(b), stream, [F.asc("_t"), F.asc("_kind"), F.asc(tie)], segment=1 - F.col("_kind"))
+    return both.filter("_kind = 1").select(stream, tie, F.col("segment").cast("int").alias("segment"))
 
 
 #: Order in which rejected rows fill up a quota.

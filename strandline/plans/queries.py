@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars, vectors
-from strandline.operators import nested, relational, streams
+from strandline.operators import nested, ranged, relational, streams
 from strandline.session import materialize, table
 from strandline.sources import payloads
 from strandline.streaming import progress
@@ -396,8 +396,7 @@ _HIST = f"""CASE WHEN b IS NOT NULL THEN least(greatest((1 - (len(a) * list_sum(
     round(coalesce(0.70 * ({_PIX}) + 0.30 * ({_HIST}), 0.0), 6) AS distance FROM v"""
 )
 def scene_distance(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("a"), F.lag("embedding").over(w).alias("b"))
+    v = ranged.previous(table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("a")), "label", [F.asc("vec_id")], b=F.col("a"))
     pixel, histogram = vectors.pixel_difference(F.col("a"), F.col("b")), F.when(F.col("b").isNotNull(), vectors.histogram_difference(F.col("a"), F.col("b")))
     return v.select("label", "vec_id", F.round(pixel, 6).alias("pixel"), F.round(histogram, 6).alias("histogram"), F.round(vectors.scene_distance(pixel, histogram), 6).alias("distance"))
 
@@ -473,8 +472,7 @@ def crash_recovery(spark: SparkSession, d: str) -> DataFrame:
 )
 def state_changes(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "item_states").select("item_id", "status", "observed_at", "attempts").filter("status IS NOT NULL AND observed_at IS NOT NULL").distinct()
-    w = Window.partitionBy("item_id").orderBy("observed_at", "attempts", "status")
-    t = s.withColumn("before", F.lag("status").over(w)).filter(F.col("before").isNotNull())
+    t = ranged.previous(s, "item_id", [F.asc("observed_at"), F.asc("attempts"), F.asc("status")], before=F.col("status")).filter(F.col("before").isNotNull())
     return t.groupBy("before", F.col("status").alias("after")).agg(F.count(F.lit(1)).alias("n"))
 
 

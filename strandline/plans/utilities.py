@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import nested, relational, streams
+from strandline.operators import nested, ranged, relational, streams
 from strandline.plans.queries import _CUT_SQL, _FRAMES, _LATEST, _META, CUTS, QUALITY, frames, latest_states, meta, query
 from strandline.session import materialize, table
 
@@ -24,8 +24,10 @@ def preview_scan(spark: SparkSession, d: str) -> DataFrame:
     """A sample a second, its change against the sample before, and the first 32 great changes of each video."""
     f = frames(spark, d)
     kept = streams.rate_limited(f, "video_path", "ts", "frame_id", 1.0).join(f.select("frame_id", "brightness"), "frame_id")
-    w = Window.partitionBy("video_path").orderBy("ts", "frame_id")
-    changed = kept.withColumn("change", F.abs(F.col("brightness") - F.lag("brightness").over(w))).filter("change >= 0.05")
+    order = [F.asc("ts"), F.asc("frame_id")]
+    w = Window.partitionBy("video_path").orderBy(*order)
+    near = ranged.previous(kept, "video_path", order, before=F.col("brightness"))
+    changed = near.withColumn("change", F.abs(F.col("brightness") - F.col("before"))).filter("change >= 0.05")
     return changed.withColumn("place", F.row_number().over(w)).filter("place <= 32").select("video_path", "frame_id", "place", F.round("change", 6).alias("change"))
 
 

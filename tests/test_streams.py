@@ -129,3 +129,30 @@ def test_empty_tables(spark):
     assert streams.rate_limited(empty, "s", "t", "id", 1.0).count() == 0
     assert streams.detect_cuts(empty, "s", "t", "id", "level", "sharpness", "motion", CutRule(), Quality()).count() == 0
     assert streams.stream_meta(empty, "s", "t").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_running_values_over_parts(spark, seed):
+    from strandline.operators import ranged
+
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot"] * 8 + list("abc")), k, rng.choice([None, rng.randint(0, 9)])) for k in range(400)]
+    df = spark.createDataFrame(rows, "s string, k int, v int").repartition(5)
+    up, down = {}, {}
+    for s in {r[0] for r in rows}:
+        last, total, before = None, 0, None
+        for _, k, v in sorted(r for r in rows if r[0] == s):
+            last, total = v if v is not None else last, total + (v or 0)
+            up[k] = (last, total, before)
+            before = v
+        last = None
+        for _, k, v in sorted((r for r in rows if r[0] == s), key=lambda r: -r[1]):
+            last = v if v is not None else last
+            down[k] = last
+    order = [F.asc("k")]
+    x = {r["k"]: r for r in ranged.running_last(df, "s", order, x=F.col("v")).collect()}
+    y = {r["k"]: r for r in ranged.running_sum(df, "s", order, x=F.coalesce("v", F.lit(0))).collect()}
+    z = {r["k"]: r for r in ranged.previous(df, "s", order, x=F.col("v")).collect()}
+    assert {k: (x[k]["x"], y[k]["x"], z[k]["x"]) for k in x} == up
+    assert {r["k"]: r["x"] for r in ranged.running_last(df, "s", [F.desc("k")], x=F.col("v")).collect()} == down
+    assert ranged.previous(df.limit(0), "s", order, x=F.col("v")).count() == 0

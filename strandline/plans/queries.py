@@ -42,7 +42,25 @@ def oracle_sql() -> dict[str, str]:
 # ---------------------------------------------------------------- nested reports
 
 
-@query()
+_NODES = r"""WITH latest AS (
+  SELECT item_id, regexp_replace(report_json, '([:,\[]\s*)NaN', '\1null', 'g') AS t FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC NULLS LAST, report_json DESC NULLS LAST) AS rn FROM queue_items WHERE item_id IS NOT NULL) WHERE rn = 1),
+outer_ AS (SELECT item_id, CASE WHEN json_valid(t) THEN CASE json_type(t) WHEN 'OBJECT' THEN t WHEN 'VARCHAR' THEN json_extract_string(t, '$') END END AS t FROM latest),
+o AS (SELECT item_id, CAST(t AS JSON) AS j FROM outer_ WHERE json_valid(t) AND json_type(t) = 'OBJECT'),
+lists AS (SELECT item_id, 'scenes' AS path, j -> 'scenes' AS x FROM o UNION ALL SELECT item_id, 'attempts_log', j -> 'attempts_log' FROM o),
+first AS (SELECT item_id, path || '/' || k AS node, e FROM (
+  SELECT item_id, path, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS k, unnest(CAST(x AS JSON[])) AS e FROM lists WHERE json_type(x) = 'ARRAY'
+  UNION ALL SELECT item_id, path, 0, x FROM lists WHERE json_type(x) = 'OBJECT') WHERE json_type(e) = 'OBJECT'),
+frames AS (SELECT item_id, node || '/frames/' || k AS node, e FROM (
+  SELECT item_id, node, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS k, unnest(CAST(x AS JSON[])) AS e FROM (SELECT item_id, node, e -> 'frames' AS x FROM first WHERE starts_with(node, 'scenes/')) WHERE json_type(x) = 'ARRAY'
+  UNION ALL SELECT item_id, node, 0, e -> 'frames' FROM first WHERE starts_with(node, 'scenes/') AND json_type(e -> 'frames') = 'OBJECT') WHERE json_type(e) = 'OBJECT'),
+rejections AS (SELECT item_id, node || '/rejections/' || k AS node, e FROM (
+  SELECT item_id, node, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS k, unnest(CAST(x AS JSON[])) AS e FROM (SELECT item_id, node, e -> 'rejections' AS x FROM frames) WHERE json_type(x) = 'ARRAY'
+  UNION ALL SELECT item_id, node, 0, e -> 'rejections' FROM frames WHERE json_type(e -> 'rejections') = 'OBJECT') WHERE json_type(e) = 'OBJECT')
+SELECT item_id, node FROM first UNION ALL SELECT item_id, node FROM frames UNION ALL SELECT item_id, node FROM rejections"""
+
+
+@query(_NODES)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     nodes = nested.report_nodes(table(spark, d, "queue_items"), nested.bare(nested.REPORT))
     return nodes.filter("table_name <> 'reports'").select(F.col("record_key").alias("item_id"), "node")

@@ -129,6 +129,19 @@ runs AS (
          CAST(count(*) AS BIGINT) AS n_events, min(ts) AS "start", max(ts) AS "end", round(max(ts) - min(ts), 6) AS duration
   FROM numbered GROUP BY item_id, run)"""
 
+# Batches in order; the state holds the hashes accepted so far.
+_HISTORY = """u AS MATERIALIZED (
+  SELECT DISTINCT frame_id, batch_id, hash_value AS h FROM frame_candidates
+  WHERE video_path IS NOT NULL AND hash_value IS NOT NULL AND hash_value <> 0 AND batch_id IS NOT NULL),
+b AS MATERIALIZED (SELECT row_number() OVER (ORDER BY batch_id) AS n, batch_id, list(DISTINCT h) AS hs FROM u GROUP BY batch_id),
+go AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS accepted, CAST([] AS BIGINT[]) AS rejected
+  UNION ALL
+  SELECT n, list_concat(accepted, list_filter(hs, lambda h: NOT list_contains(bad, h))), bad
+  FROM (SELECT b.n, b.hs, go.accepted, list_filter(b.hs, lambda h: len(list_filter(go.accepted, lambda a: bit_count(xor(a, h)) <= 6)) > 0) AS bad
+    FROM go JOIN b ON b.n = go.n + 1)),
+cases AS (SELECT DISTINCT u.frame_id FROM u JOIN b USING (batch_id) JOIN (SELECT n, unnest(rejected) AS h FROM go) r ON r.n = b.n AND r.h = u.h)"""
+
 _TOP = f"""{_SCORED}, ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY video_path ORDER BY sharpness DESC, ts, frame_id) AS INT) AS place FROM scored)"""
 
@@ -140,6 +153,8 @@ def oracle_sql() -> dict[str, str]:
             (SELECT count(*) FROM scored s WHERE s.video_path = c.video_path AND s.sharpness >= c.cutoff) AS n_kept FROM cutoffs c""",
         "p4_found": f"WITH {_RUNS} SELECT first_frame_id, last_frame_id FROM runs WHERE n_events > 1",
         "p4_runs": f"WITH {_RUNS} SELECT * FROM runs",
+        "p5_found": f"WITH RECURSIVE {_HISTORY} SELECT frame_id FROM cases",
+        "p5_places": f"""WITH RECURSIVE {_HISTORY} SELECT DISTINCT frame_id, video_path, ts FROM cases JOIN frame_candidates USING (frame_id)""",
         "p6_found": f"WITH {_TOP} SELECT frame_id FROM ranked WHERE place <= 5",
         "p6_ranked": f"WITH {_TOP} SELECT video_path, place, frame_id, sharpness, ts FROM ranked WHERE place <= 5",
     }

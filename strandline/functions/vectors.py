@@ -55,8 +55,39 @@ def bucket_keys(h: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda o: F.struct(o.alias("offset"), F.call_function("shiftrightunsigned", h, o * 8).bitwiseAND(F.lit(255)).cast("int").alias("byte")))
 
 
+_PAIRS = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+
+
 def pair_keys(h: Column) -> Column:
-    """A number for each two of the eight bytes; hashes within 6 bits share at least one."""
-    byte = lambda o: F.call_function("shiftrightunsigned", h, F.lit(o * 8)).bitwiseAND(F.lit(255))
-    pairs = [(i, j) for i in range(8) for j in range(i + 1, 8)]
-    return F.array(*[F.lit((i * 8 + j) << 16) + byte(i) * 256 + byte(j) for i, j in pairs])
+    """A number for each two of the eight bytes: (first * 8 + second) << 16, and the bytes.
+
+    Hashes within 6 bits share at least one.
+    """
+    byte = lambda o: F.call_function("shiftrightunsigned", h, o * 8).bitwiseAND(F.lit(255))
+    pairs = F.array(*[F.lit(i * 8 + j) for i, j in _PAIRS])
+    return F.transform(pairs, lambda p: p.cast("long") * 65536 + byte(F.floor(p / 8).cast("int")) * 256 + byte(p % 8))
+
+
+_FLAG = [1 << (8 * o + 7) if o < 4 else 1 << (8 * (o - 4) + 6) for o in range(8)]
+
+
+def equal_byte_flags(a: Column, b: Column) -> Column:
+    """A flag for each byte in which two hashes agree (no branches, so it stays one small expression)."""
+    x = a.bitwiseXOR(b)
+    half = 0x7F7F7F7F
+
+    def zeros(h: Column) -> Column:
+        return F.bitwise_not((h.bitwiseAND(F.lit(half)) + half).bitwiseOR(h).bitwiseOR(F.lit(half))).bitwiseAND(F.lit(0x80808080))
+
+    low, high = x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)
+    return zeros(low).bitwiseOR(F.shiftright(zeros(high), 1))
+
+
+def pair_masks(key: Column) -> tuple[Column, Column]:
+    """For a key of ``pair_keys``: the flags of all bytes up to its second, and those of its two."""
+    number = F.shiftright(key, 16).cast("int") + 1
+    upto, own = [0] * 64, [0] * 64
+    for i, j in _PAIRS:
+        upto[i * 8 + j], own[i * 8 + j] = sum(_FLAG[: j + 1]), _FLAG[i] | _FLAG[j]
+    table = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), number)
+    return table(upto), table(own)

@@ -104,13 +104,14 @@ def near_pairs(df: DataFrame, stream: str, hash_col: str, max_bits: int) -> Data
     h = df.filter(F.col(stream).isNotNull() & F.col(hash_col).isNotNull()).groupBy(stream, hash_col).agg(F.count(F.lit(1)).alias("n"))
     keyed = h.select(stream, hash_col, "n", F.explode(vectors.pair_keys(F.col(hash_col))).alias("_key"))
     # Of the keys that a pair shares only the first, that of its first two equal bytes, gives the pair.
-    byte = lambda o: F.call_function("shiftrightunsigned", F.col("hash_a").bitwiseXOR(F.col("hash_b")), o * 8).bitwiseAND(F.lit(255))
-    equal = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda o: byte(o) == 0)
-    first = F.shiftright(F.col("_key"), 16) == equal[0] * 8 + equal[1]
-    a = keyed.select(stream, "_key", F.col(hash_col).alias("hash_a"), F.col("n").alias("n_a"))
+    upto, own = vectors.pair_masks(F.col("_key"))
+    # Written, so that the planner knows its size (the estimate of an explode does not count its rows).
+    keyed = materialize(keyed.withColumn("_upto", upto).withColumn("_own", own), "pair-keys")
+    a = keyed.select(stream, "_key", "_upto", "_own", F.col(hash_col).alias("hash_a"), F.col("n").alias("n_a"))
     b = keyed.select(stream, "_key", F.col(hash_col).alias("hash_b"), F.col("n").alias("n_b"))
     bits = vectors.hamming(F.col("hash_a"), F.col("hash_b"))
-    pairs = a.join(b, [stream, "_key"]).filter((F.col("hash_a") < F.col("hash_b")) & (bits <= max_bits)).filter(first)
+    pairs = a.join(b, [stream, "_key"]).filter((F.col("hash_a") < F.col("hash_b")) & (bits <= max_bits))
+    pairs = pairs.filter(vectors.equal_byte_flags(F.col("hash_a"), F.col("hash_b")).bitwiseAND(F.col("_upto")) == F.col("_own"))
     return pairs.select(stream, "hash_a", "hash_b", "n_a", "n_b", bits.alias("bits"))
 
 

@@ -40,30 +40,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, on whatever file system it lies."""
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` and all below it."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
-    It goes when the application ends.
+    Only where the setting is absent and everything runs on one machine (a local master) a temporary folder
+    is made; on a cluster a missing setting is an error.  The folder goes when the application ends.
     """
     known = spark.conf.get(_SCRATCH_KEY, None)
     if known:
         return known
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         shared = "file://" + tempfile.mkdtemp(prefix="strandline-")
     path = f"{shared.rstrip('/')}/strandline-{uuid.uuid4().hex}"
     spark.conf.set(_SCRATCH_KEY, path)
 
     def clean() -> None:
         try:
-            _delete(spark, path)
+            delete_path(spark, path)
         except Exception:  # the JVM may already be gone
             pass
 
@@ -86,7 +99,7 @@ def release(*dfs: DataFrame) -> None:
     for df in dfs:
         path = getattr(df, "_strandline_path", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete_path(df.sparkSession, path)
 
 
 def distinct_rows(df: DataFrame, key: str) -> DataFrame:

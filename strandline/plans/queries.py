@@ -43,9 +43,10 @@ def oracle_sql() -> dict[str, str]:
 
 
 _NODES = r"""WITH latest AS (
-  SELECT item_id, regexp_replace(report_json, '([:,\[]\s*)NaN', '\1null', 'g') AS t FROM (
+  SELECT item_id, report_json AS t FROM (
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC NULLS LAST, report_json DESC NULLS LAST) AS rn FROM queue_items WHERE item_id IS NOT NULL) WHERE rn = 1),
-outer_ AS (SELECT item_id, CASE WHEN json_valid(t) THEN CASE json_type(t) WHEN 'OBJECT' THEN t WHEN 'VARCHAR' THEN json_extract_string(t, '$') END END AS t FROM latest),
+inner_ AS (SELECT item_id, CASE WHEN NOT starts_with(ltrim(t, E' \t\r\n'), '"') THEN t WHEN json_valid(t) THEN json_extract_string(t, '$') END AS t FROM latest),
+outer_ AS (SELECT item_id, regexp_replace(t, '([:,\[]\s*)NaN', '\1"NaN"', 'g') AS t FROM inner_),
 o AS (SELECT item_id, CAST(t AS JSON) AS j FROM outer_ WHERE json_valid(t) AND json_type(t) = 'OBJECT'),
 lists AS (SELECT item_id, 'scenes' AS path, j -> 'scenes' AS x FROM o UNION ALL SELECT item_id, 'attempts_log', j -> 'attempts_log' FROM o),
 first AS (SELECT item_id, path || '/' || k AS node, e FROM (
@@ -56,30 +57,95 @@ frames AS (SELECT item_id, node || '/frames/' || k AS node, e FROM (
   UNION ALL SELECT item_id, node, 0, e -> 'frames' FROM first WHERE starts_with(node, 'scenes/') AND json_type(e -> 'frames') = 'OBJECT') WHERE json_type(e) = 'OBJECT'),
 rejections AS (SELECT item_id, node || '/rejections/' || k AS node, e FROM (
   SELECT item_id, node, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS k, unnest(CAST(x AS JSON[])) AS e FROM (SELECT item_id, node, e -> 'rejections' AS x FROM frames) WHERE json_type(x) = 'ARRAY'
-  UNION ALL SELECT item_id, node, 0, e -> 'rejections' FROM frames WHERE json_type(e -> 'rejections') = 'OBJECT') WHERE json_type(e) = 'OBJECT')
-SELECT item_id, node FROM first UNION ALL SELECT item_id, node FROM frames UNION ALL SELECT item_id, node FROM rejections"""
+  UNION ALL SELECT item_id, node, 0, e -> 'rejections' FROM frames WHERE json_type(e -> 'rejections') = 'OBJECT') WHERE json_type(e) = 'OBJECT')"""
 
 
-@query(_NODES)
+@query(f"{_NODES} SELECT item_id, node FROM first UNION ALL SELECT item_id, node FROM frames UNION ALL SELECT item_id, node FROM rejections")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested.report_nodes(table(spark, d, "queue_items"), nested.bare(nested.REPORT))
-    return nodes.filter("table_name <> 'reports'").select(F.col("record_key").alias("item_id"), "node")
+    nodes = nested.report_nodes(table(spark, d, "queue_items"))
+    return nodes.filter(F.col("table_name").isin(*nested.NESTED_TABLES)).select(F.col("record_key").alias("item_id"), "node")
 
 
 def _report_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return nested.related_tables(nested.report_nodes(table(spark, d, "queue_items")), nested.REPORT)
 
 
-@query()
+def _fields(source: str, kinds: dict[str, str]) -> str:
+    types = {"string": None, "int": "INT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    text = lambda f: f"json_extract_string({source}, '$.{f}')"
+    return ", ".join(f'{text(f)} AS "{f}"' if types[t] is None else f'TRY_CAST({text(f)} AS {types[t]}) AS "{f}"' for f, t in kinds.items())
+
+
+def _table_sql(rows: str, kinds: dict[str, str]) -> str:
+    return f"""{_NODES} SELECT item_id, node, regexp_replace(node, '/?[^/]+/[0-9]+$', '') AS parent_node,
+      CAST(regexp_extract(node, '([0-9]+)$', 1) AS INT) AS place, {_fields("e", kinds)} FROM {rows}"""
+
+
+_SCENES = nested.REPORT.children[0]
+_FRAME = _SCENES.children[1]
+
+
+@query(f"{_NODES} SELECT item_id, {_fields('j', nested.REPORT.fields)} FROM o")
+def p1_reports(spark: SparkSession, d: str) -> DataFrame:
+    return _report_tables(spark, d)["reports"].drop("node", "parent_node", "place").withColumnRenamed("record_key", "item_id")
+
+
+@query(_table_sql("first WHERE starts_with(node, 'scenes/')", _SCENES.fields))
+def p1_scenes(spark: SparkSession, d: str) -> DataFrame:
+    return _report_tables(spark, d)["scenes"].withColumnRenamed("record_key", "item_id")
+
+
+@query(_table_sql("frames", _FRAME.fields))
 def p1_frames(spark: SparkSession, d: str) -> DataFrame:
     return _report_tables(spark, d)["frames"].withColumnRenamed("record_key", "item_id")
 
 
-@query()
+@query(_table_sql("rejections", _FRAME.children[1].fields))
 def p1_rejections(spark: SparkSession, d: str) -> DataFrame:
     return _report_tables(spark, d)["rejections"].withColumnRenamed("record_key", "item_id")
 
 
+@query(_table_sql("first WHERE starts_with(node, 'attempts_log/')", nested.REPORT.children[1].fields))
+def p1_attempts(spark: SparkSession, d: str) -> DataFrame:
+    return _report_tables(spark, d)["attempts"].withColumnRenamed("record_key", "item_id")
+
+
+@query(
+    f"""{_NODES}, cut AS (SELECT item_id, node, e -> 'cut' AS c FROM first WHERE starts_with(node, 'scenes/') AND json_type(e -> 'cut') = 'OBJECT')
+    SELECT item_id, node || '/cut' AS node, node AS parent_node, {_fields("c", {"score": "double", "confirmations": "int"})},
+      TRY_CAST(json_extract_string(c, '$.flash.ratio') AS DOUBLE) AS flash_ratio, TRY_CAST(json_extract_string(c, '$.flash.bright') AS DOUBLE) AS flash_bright FROM cut"""
+)
+def p1_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Each cut with its flash: two linked tables joined by their links."""
+    t = _report_tables(spark, d)
+    flash = t["flashes"].select("record_key", F.col("parent_node").alias("node"), F.col("ratio").alias("flash_ratio"), F.col("bright").alias("flash_bright"))
+    return t["cuts"].drop("place").join(flash, ["record_key", "node"], "left").withColumnRenamed("record_key", "item_id")
+
+
+@query(
+    f"""{_NODES}, stages AS (SELECT item_id, unnest(json_keys(j -> 'stage_timings')) AS name, j -> 'stage_timings' AS s FROM o WHERE json_type(j -> 'stage_timings') = 'OBJECT'),
+    timed AS (SELECT name, s -> name AS v FROM stages)
+    SELECT name, count(*) AS reports, round(sum(TRY_CAST(json_extract_string(v, '$.ms') AS DOUBLE)), 3) AS ms, CAST(sum(TRY_CAST(json_extract_string(v, '$.count') AS INT)) AS BIGINT) AS "count" FROM timed GROUP BY name"""
+)
+def p1_stage_timings(spark: SparkSession, d: str) -> DataFrame:
+    timings = _report_tables(spark, d)["stage_timings"]
+    return timings.groupBy("name").agg(F.count(F.lit(1)).alias("reports"), F.round(F.sum("ms"), 3).alias("ms"), F.sum("count").alias("count"))
+
+
+@query(
+    f"""{_NODES}, e AS (SELECT item_id, node, e -> 'error' AS x FROM first WHERE starts_with(node, 'attempts_log/') AND json_type(e -> 'error') = 'OBJECT')
+    SELECT json_extract_string(x, '$.code') AS code, json_extract_string(x, '$.cause.kind') AS cause, count(*) AS n,
+      CAST(sum(CASE WHEN json_type(x -> '$.cause.trace') = 'ARRAY' THEN json_array_length(x -> '$.cause.trace') ELSE 0 END) AS BIGINT) AS trace_lines FROM e GROUP BY ALL"""
+)
+def p1_error_causes(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of attempts by code and kind of cause, over three levels of linked tables."""
+    t = _report_tables(spark, d)
+    lines = t["trace"].groupBy("record_key", F.col("parent_node").alias("cause_node")).agg(F.count(F.lit(1)).alias("lines"))
+    causes = t["causes"].select("record_key", F.col("node").alias("cause_node"), F.col("parent_node").alias("node"), F.col("kind").alias("cause")).join(lines, ["record_key", "cause_node"], "left")
+    joined = t["errors"].join(causes, ["record_key", "node"], "left")
+    return joined.groupBy("code", "cause").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("lines", F.lit(0))).alias("trace_lines"))
+
+
 # ---------------------------------------------------------------- frames
 
 QUALITY = streams.Quality(100.0, 0.30, 6)

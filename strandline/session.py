@@ -84,11 +84,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and return it as read from there."""
+def materialize(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:
+    """Write ``df`` to the scratch folder, in folders by the column ``partition`` if one is given, and return it as read from there."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._strandline_path = path
     return back

@@ -11,6 +11,9 @@ from strandline.llm import canonical, cutoff, history, mojibake, packing, runs,
 from strandline.session import distinct_rows, materialize, table
 
 CONTAINER_TOKENS = 2048
+# Words for "licence" in the languages of the values, and another name of a reference word.
+LICENCE_FILLERS = ("license", "licence", "licencia", "lizenz", "lic", "giay phep", "version", "v")
+LICENCE_ALIASES = {"noderivs": "noderivatives", "zero": "0"}
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +43,8 @@ def _licences(spark: SparkSession, d: str) -> DataFrame:
         ("name", "long_name", "name_vi"),
         "family",
         "version",
-        canonical.LICENCE_FILLERS,
-        canonical.LICENCE_ALIASES,
+        LICENCE_FILLERS,
+        LICENCE_ALIASES,
     )
 
 

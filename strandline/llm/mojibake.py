@@ -9,19 +9,24 @@ constant:
   are cheap; a symbol inside a word, two scripts in one word, control characters and unassigned ones are dear.
 * UTF-8 read as a one-byte encoding: units of two to four characters that are one UTF-8 sequence in that
   encoding, at the cost of the character they stand for; other characters as in the clean state and more.
-* a one-byte encoding read as another: every character at the cost of the one it stands for.
+* a one-byte encoding read as another: every character at the cost of the one it stands for; for Cyrillic, whole words.
 * UTF-8 read as UTF-16: pairs of bytes, at the cost of the text they spell.
 
 Entering a state costs too, so one odd character alone stays clean.  The cheapest path is found by dynamic
 programming (Viterbi) over the stretches of a document, and each labelled stretch gets the inverse transform
-of its state.  A restored text is labelled again, up to ``ROUNDS`` times, for text that was decoded wrongly
-more than once.
+of its state.  A restored text is labelled again until nothing more is found (or a text comes back that was there
+before), for text that was decoded wrongly more than once.
+
+A stretch is plain if the clean state explains it well and better than any other.  Correct words also stand between
+garbled ones, so every state emits a plain stretch at the same cost; a cost that all states share changes no path,
+and plain stretches are left out of the sequence.
 
 A vectorised pass over all characters first rules out documents in which nothing is odd: there the clean
 path is the cheapest, as every other one pays for entering its state.
 
 Defined cases: null and empty texts are clean; U+FFFD and control characters that no state explains are
-lost characters and stay as they are, as do sequences of which a character is missing; correct text in any language, script or normal form is clean.
+lost characters and stay as they are, as do sequences of which a character is missing (``n_unrestored`` counts the
+stretches that stay so); correct text in any language, script or normal form is clean.
 One row comes out for each row that goes in.
 """
 
@@ -36,11 +41,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: UTF-8 read as these.
-WRONG = ("cp1252", "latin_1", "iso8859_15", "cp1250", "cp1251", "cp1258", "cp437", "cp850", "mac_roman")
-#: Windows-1252 read as these.
-SWAPPED = ("cp1251", "cp437", "cp850", "mac_roman")
-STATES = ("clean", *(f"utf8-as-{e}" for e in WRONG), *(f"cp1252-as-{e}" for e in SWAPPED), "utf8-as-utf16", "lost")
-ROUNDS = 3
+WRONG = ("cp1252", "latin_1", "iso8859_15", "cp1250", "cp1251", "cp1253", "cp1254", "cp1258", "koi8_r", "cp437", "cp850", "mac_roman")
+#: One one-byte encoding read as another: what it was, and what it was read as.
+SWAPPED = (
+    ("cp1252", "cp1251"),
+    ("cp1252", "cp437"),
+    ("cp1252", "cp850"),
+    ("cp1252", "mac_roman"),
+    ("cp1251", "latin_1"),
+    ("cp1251", "cp1252"),
+    ("cp1251", "koi8_r"),
+    ("koi8_r", "cp1251"),
+    ("koi8_r", "latin_1"),
+)
+STATES = ("clean", *(f"utf8-as-{e}" for e in WRONG), *(f"{t}-as-{e}" for t, e in SWAPPED), "utf8-as-utf16", "lost")
 _N_WRONG = len(WRONG)
 _UTF16, _LOST = len(STATES) - 2, len(STATES) - 1
 
@@ -48,10 +62,11 @@ _ENTER_UTF8, _ENTER_OTHER, _LEAVE, _CHANGE = 4.0, 5.0, 1.0, 6.0
 _NEVER = 1e12
 _IMPLAUSIBLE = 14.0
 _CACHE = 200_000
+_LONGEST_WORD = 30
 
 
 def _bytes_of(encoding: str) -> dict[str, int]:
-    """Characters outside ASCII and their bytes; bytes an encoding of the Windows family leaves free are C1 controls."""
+    """Characters outside ASCII and their bytes; bytes an encoding of the Windows family leaves free stand for themselves, as in Latin-1."""
     out: dict[str, int] = {}
     for b in range(0x80, 0x100):
         try:
@@ -59,14 +74,14 @@ def _bytes_of(encoding: str) -> dict[str, int]:
         except UnicodeDecodeError:
             pass
     if encoding.startswith("cp12"):
-        for b in range(0x80, 0xA0):
+        for b in range(0x80, 0x100):
             if b not in out.values():
                 out[chr(b)] = b
     return out
 
 
-_BYTES = {e: _bytes_of(e) for e in {*WRONG, *SWAPPED}}
-_SWAP = {e: {c: bytes([b]).decode("cp1252", "replace") for c, b in _BYTES[e].items()} for e in SWAPPED}
+_BYTES = {e: _bytes_of(e) for e in {*WRONG, *(e for _, e in SWAPPED)}}
+_SWAP = {(t, e): {c: bytes([b]).decode(t, "replace") for c, b in _BYTES[e].items()} for t, e in SWAPPED}
 
 _OPENING = set("«“‘„‚¿¡‹")
 _CLOSING = set("»”…›")
@@ -114,6 +129,8 @@ def _clean_cost(prev: str, c: str, following: str) -> float:
             cost += 8.0
         elif script != "latin":
             cost -= 1.0 if before or after else 0.0
+            if script == "cyrillic" and c.isupper() and before and prev.islower():
+                cost += 3.0
             if 0x402 <= o < 0x410 or 0x452 <= o < 0x460:
                 cost += 2.0
         else:
@@ -173,7 +190,7 @@ def _meaning_cost(y: str) -> float:
         return 3.5
     if 0x1100 <= o < 0x1200 or 0xFF00 <= o < 0xFF61 or 0x1F000 <= o < 0x1FB00 or o in (0xFE0F, 0x200D):
         return 3.5
-    if y in _BYTES["cp1252"]:
+    if y in _BYTES["cp1252"] or 0x80 <= o < 0xA0:
         return 4.5  # part of a sequence that is itself garbled
     return _IMPLAUSIBLE
 
@@ -208,6 +225,30 @@ def _as_utf16(run: str) -> tuple[float, str] | None:
     return cost, text
 
 
+#: Letters of Russian from frequent to rare (fixed values); the rest of the script is rarer still.
+_LETTER_COST = {c: 0.5 + 0.04 * k for k, c in enumerate("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё")}
+
+
+def _cyrillic_cost(before: str, run: str, meant: list[str], after: str, clean: list[float]) -> float | None:
+    """The cost of a stretch as a Cyrillic word in a wrong one-byte encoding: letters in a row, capitals only in front or throughout."""
+    if before.isalpha() or after.isalpha() or len(run) > _LONGEST_WORD:
+        return None
+    letters = [y for y in meant if y.isalpha()]
+    if len(letters) < 2 or any(_script(y) != "cyrillic" for y in letters) or len({_script(x) for x in run if x.isalpha()}) > 1:
+        return None  # right letters among them
+    if len(letters) < 3 and not all(0xC0 <= ord(x) < 0x100 or 0x410 <= ord(x) < 0x450 for x, y in zip(run, meant) if y.isalpha()):
+        return None  # too short to tell from a cut sequence
+    # The same letters in lower case behind a capital are a word; anything else is not.
+    capitals = all(y.isupper() for y in letters) and not all(x.isupper() for x in run if x.isalpha())
+    total = 2.0
+    for i, (x, y) in enumerate(zip(run, meant)):
+        if y.isalpha():
+            total += _LETTER_COST.get(y.lower(), 4.0) + (5.0 if i and y.isupper() and (meant[i - 1].islower() or capitals) else 0.0)
+        else:
+            total += clean[i] if x == y else 1.5 + _clean_cost(meant[i - 1] if i else before, y, meant[i + 1] if i + 1 < len(meant) else after)
+    return total
+
+
 def emissions(before: str, run: str, after: str) -> tuple[np.ndarray, list[str | None]]:
     """The cost of a stretch outside ASCII in every state, and its text by each state's inverse transform."""
     padded = [before, *run, after]
@@ -241,11 +282,16 @@ def emissions(before: str, run: str, after: str) -> tuple[np.ndarray, list[str |
                 k, piece = back[k]
                 parts.append(piece)
             text[s] = "".join(reversed(parts))
-    for s, encoding in enumerate(SWAPPED, 1 + _N_WRONG):
-        swap = _SWAP[encoding]
+    for s, pair in enumerate(SWAPPED, 1 + _N_WRONG):
+        swap = _SWAP[pair]
         meant = [swap.get(c, c) for c in run]
         if meant == list(run):
             continue
+        if pair[0] != "cp1252":
+            c_total = _cyrillic_cost(before, run, meant, after, clean)
+            if c_total is not None:
+                cost[s], text[s] = c_total, "".join(meant)
+            continue
         ring = [before, *meant, after]
         c_total = 0.0
         for i, (x, y) in enumerate(zip(run, meant)):
@@ -264,7 +310,9 @@ def emissions(before: str, run: str, after: str) -> tuple[np.ndarray, list[str |
         cost[_UTF16], text[_UTF16] = found
     gone = [x == "�" or "\x80" <= x < "\xa0" and x != "\x85" for x in run]
     lost = any(gone)
-    cost[_LOST] = sum(1.0 if g else c for c, g in zip(clean, gone)) + 2.0 if lost else _NEVER
+    # A control character behind the first byte of a sequence is rather the rest of it.
+    rest = [i > 0 and g and x != "�" and 0xC2 <= ord(run[i - 1]) < 0xF5 for i, (x, g) in enumerate(zip(run, gone))]
+    cost[_LOST] = sum(4.0 if r else 1.0 if g else c for c, g, r in zip(clean, gone, rest)) + 2.0 if lost else _NEVER
     if lost:
         text[_LOST] = run
     return cost, text
@@ -274,6 +322,8 @@ _CHANGES = np.full((len(STATES), len(STATES)), _CHANGE)
 np.fill_diagonal(_CHANGES, 0.0)
 _CHANGES[0, 1:], _CHANGES[1:, 0] = _ENTER_OTHER, _LEAVE
 _CHANGES[0, 1 : 1 + _N_WRONG] = _ENTER_UTF8
+# No change costs more than one by way of the clean state, so that a plain stretch in between makes none cheaper.
+_CHANGES = np.minimum(_CHANGES, _CHANGES[:, :1] + _CHANGES[:1, :])
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,14 +336,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     lead[ord(c)] |= 1 << s
                 elif b < 0xC0:
                     cont[ord(c)] |= 1 << s
-    for e in SWAPPED:
-        for c, y in _SWAP[e].items():
-            if ord(c) < 0x2600 and c != y and (y.isalpha() and ord(y) >= 0xC0):
+    for pair in SWAPPED:
+        for c, y in _SWAP[pair].items():
+            if pair[0] == "cp1252" and ord(c) < 0x2600 and c != y and (y.isalpha() and ord(y) >= 0xC0):
                 odd[ord(c)] = True
     return lead, cont, odd
 
 
 _LEAD, _CONT, _ODD = _tables()
+_UPPER = np.array([0xC0 <= o and chr(o).isupper() for o in range(0x250)])
 
 
 def _odd_places(a: np.ndarray) -> np.ndarray:
@@ -316,6 +367,12 @@ def _odd_places(a: np.ndarray) -> np.ndarray:
     found |= _ODD[low_c] & ~letter & (is_letter(prev) | is_letter(following))
     found |= _ODD[low_c] & letter & upper[np.minimum(c, 0x24F)] & is_lower(prev)
     found |= (c == 0xFFFD) | ((c >= 0x80) & (c < 0xA0))
+    # Cyrillic in another one-byte encoding: three letters of Latin-1 in a row, or a Cyrillic capital behind a small letter.
+    latin_1 = (c >= 0xC0) & (c < 0x100) & (c != 0xD7) & (c != 0xF7)
+    row = latin_1[:-2] & latin_1[1:-1] & latin_1[2:] & (at[2:] - at[:-2] == 2)
+    found[: max(len(at) - 2, 0)] |= row
+    small = ((prev >= 0x430) & (prev < 0x450)) | (prev == 0x451)
+    found |= (c >= 0x410) & (c < 0x430) & small
     pair = lambda x: (x >= 0x2000) & (x < 0x7F00) & ((x & 0xFF) >= 0x20) & ((x & 0xFF) < 0x7F)
     found |= pair(c) & pair(following)
     return at[found]
@@ -367,26 +424,25 @@ class Labeller:
         path.reverse()
         return [(a, z, s, back[s]) for (a, z, back), s in zip(spans, path) if s and back[s] is not None and (back[s] != text[a:z] or s == _LOST)]
 
-    def restore(self, text: str) -> tuple[str, list[str], int]:
-        """The restored text, the states used and the number of stretches."""
+    def restore(self, text: str) -> tuple[str, list[str], int, int]:
+        """The restored text, the states used, the number of stretches, and of those that stay wrong."""
         states: list[str] = []
-        stretches = 0
-        for _ in range(ROUNDS):
+        stretches, before = 0, {text}
+        while True:
             found = self.label(text)
-            if not found:
-                break
             parts, at = [], 0
             for a, z, s, piece in found:
                 parts += [text[at:a], piece]
                 at = z
                 if STATES[s] not in states:
                     states.append(STATES[s])
-            stretches += len(found)
             fresh = "".join(parts) + text[at:]
-            if fresh == text:
-                break
+            if not found or fresh in before:
+                stretches = max(stretches, len(found))
+                return text, states, stretches, len(found)
+            stretches += len(found)
+            before.add(fresh)
             text = fresh
-        return text, states, stretches
 
 
 def _stretches(text: str) -> Iterator[tuple[int, int]]:
@@ -396,9 +452,9 @@ def _stretches(text: str) -> Iterator[tuple[int, int]]:
     return zip(edge[::2].tolist(), edge[1::2].tolist())
 
 
-def label_batch(texts: list[str | None], labeller: Labeller) -> list[tuple[str | None, list[str], int]]:
-    """Restored text, states and number of stretches for each text."""
-    out: list[tuple[str | None, list[str], int]] = [(t, [], 0) for t in texts]
+def label_batch(texts: list[str | None], labeller: Labeller) -> list[tuple[str | None, list[str], int, int]]:
+    """Restored text, states, number of stretches and of those left for each text."""
+    out: list[tuple[str | None, list[str], int, int]] = [(t, [], 0, 0) for t in texts]
     wide = [i for i, t in enumerate(texts) if t and not t.isascii()]
     if not wide:
         return out
@@ -412,11 +468,11 @@ def label_batch(texts: list[str | None], labeller: Labeller) -> list[tuple[str |
 
 
 def find_wrong_decoding(df: DataFrame, id_col: str, text_col: str, only_found: bool = False) -> DataFrame:
-    """id, states, n_stretches and restored text of each row; with ``only_found`` of the affected rows alone.
+    """id, states, n_stretches, n_unrestored and restored text of each row; with ``only_found`` of the affected rows alone.
 
     The restored text is null where nothing was found, so that clean texts are not copied.
     """
-    if id_col in ("states", "n_stretches", "restored"):
+    if id_col in ("states", "n_stretches", "n_unrestored", "restored"):
         raise ValueError("id_col has the name of a result column")
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
@@ -430,10 +486,11 @@ def find_wrong_decoding(df: DataFrame, id_col: str, text_col: str, only_found: b
                     batch.column(0).take(pa.array(rows, pa.int64())),
                     pa.array([found[i][1] for i in rows], pa.list_(pa.string())),
                     pa.array([found[i][2] for i in rows], pa.int32()),
+                    pa.array([found[i][3] for i in rows], pa.int32()),
                     pa.array([found[i][0].encode("utf-8", "replace").decode() if found[i][2] else None for i in rows], pa.string()),
                 ],
-                names=[id_col, "states", "n_stretches", "restored"],
+                names=[id_col, "states", "n_stretches", "n_unrestored", "restored"],
             )
 
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, states array<string>, n_stretches int, restored string")
+    return slim.mapInArrow(run, f"`{id_col}` {kind}, states array<string>, n_stretches int, n_unrestored int, restored string")

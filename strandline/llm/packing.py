@@ -6,9 +6,13 @@ all pieces of the largest size not yet placed, sweeps the gaps upward from that
 size comes first), lets each gap take as many pieces as it holds, resolves conflicts by rank (the piece of
 rank r of its size goes to the r-th place offered), updates the gaps and repeats.  What is left over opens
 new containers.  Gaps of the same history are one cohort with a count, so the sweep works on cohorts, and
-its result is a list of rank intervals; the corpus itself is only ranked (in blocks, never in one task) and
+its result is a list of rank intervals; the corpus itself is only ranked (in range parts, never in one task) and
 looks its container up by size and rank.  The outcome equals best fit decreasing over single pieces.
 
+The pieces are sorted and ranked by the cluster; the sweep over the counts of sizes and gaps runs on the driver, because
+each step depends on the gaps that the one before left.  (Rounds that place as many single pieces as there are gaps at once
+need about a quarter more containers, see the README.)
+
 Defined cases: sizes that are null or below 1 are not placed; a piece is never split unless its document
 exceeds the capacity; ranks follow the id, so container numbers do not depend on partitioning; an
 empty table gives no rows.  Ids must be unique.
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.session import materialize
+from strandline.session import materialize, release
 
 #: The plan keeps one number for each size up to the capacity on the driver.
 MAX_CAPACITY = 1 << 20
-_BLOCK_ROWS = 50_000
+_PART_ROWS = 1_000_000
 
 
 @dataclass
@@ -127,26 +131,24 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
         raise ValueError(f"capacity must lie between 1 and {MAX_CAPACITY}")
     if id_col in ("piece", "start", "size", "container", "container_fill"):
         raise ValueError("id_col has the name of a result column")
-    pieces = split_into_pieces(sizes, id_col, size_col, capacity)
-    counted = materialize(
-        pieces.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(1 << 20))), "pieces"
-    )
-    total = counted.count()
-    blocks = max(1, -(-total // _BLOCK_ROWS))
-    blocked = counted.withColumn("_block", F.col("_block") % blocks)
-    # Rank within a size: the pieces in the blocks before, then the place within the block.
-    per_block = blocked.groupBy("size", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("size").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = materialize(per_block.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "blocks")
-    counts = {r["size"]: r["n"] for r in per_block.groupBy("size").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    # A few intervals for each size: bounded by the capacity, whatever the corpus.
+    pieces = materialize(split_into_pieces(sizes, id_col, size_col, capacity), "pieces")
+    # Rank within a size: the pieces of the size in the parts before, then the place within the part.
+    order = [F.asc("size"), F.asc("_id"), F.asc("piece")]
+    parts = 1 + pieces.count() // _PART_ROWS
+    placed = materialize(pieces.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "parts")
+    release(pieces)
+    # A row for each size of each part: parts follow one another in size, so there are fewer than sizes and parts together.
+    held = placed.groupBy("size", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = materialize(held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "held")
+    counts = {r["size"]: r["n"] for r in held.groupBy("size").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    # A few intervals for each size.
     shared = sizes.sparkSession.sparkContext.broadcast(plan_packing(counts, capacity))
-    within = Window.partitionBy("size", "_block").orderBy("_id", "piece")
-    ranked = (
-        blocked.withColumn("_place", F.row_number().over(within) - 1)
-        .join(per_block.select("size", "_block", "_before"), ["size", "_block"])
-        .select("_id", "piece", "start", "size", (F.col("_before") + F.col("_place")).alias("_rank"))
-    )
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    # In a part the rows of smaller sizes come first.
+    smaller = Window.partitionBy("_part").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_offset", F.col("_before") - F.coalesce(F.sum("_n").over(smaller), F.lit(0)))
+    ranked = placed.withColumn("_place", place).join(held.select("size", "_part", "_offset"), ["size", "_part"]).select("_id", "piece", "start", "size", (F.col("_offset") + F.col("_place")).alias("_rank"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value

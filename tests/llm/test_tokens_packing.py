@@ -101,7 +101,7 @@ def check(rows, sizes, capacity):
 
 @pytest.mark.parametrize("block", [50_000, 20])
 def test_pack(spark, monkeypatch, block):
-    monkeypatch.setattr(packing, "_BLOCK_ROWS", block)
+    monkeypatch.setattr(packing, "_PART_ROWS", block)
     rng = random.Random(5)
     sizes = [(k, rng.choice([None, 0, -3, 30, 30, 30, 100, 101, 250, 1000, rng.randint(1, 100)])) for k in range(600)] + [(None, 5)]
     df = spark.createDataFrame([(*s, 1) for s in sizes], "doc_id bigint, n_tokens bigint, piece int")

@@ -33,6 +33,8 @@ def _running(df: DataFrame, stream: str, order: list[Column], inside, across: st
     so_far = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     if across == "last":
         edges = edges.withColumns({f"_end_{n}": F.last(f"_end_{n}", True).over(so_far) for n in names})
+    elif across == "max":
+        edges = edges.withColumns({f"_end_{n}": F.max(f"_end_{n}").over(so_far) for n in names})
     elif across == "sum":
         edges = edges.withColumns({f"_end_{n}": F.sum(f"_end_{n}").over(so_far) for n in names})
     following = F.lead("_part").over(Window.orderBy("_part"))
@@ -44,6 +46,8 @@ def _running(df: DataFrame, stream: str, order: list[Column], inside, across: st
         before = F.when(same, F.col(f"_end_{n}"))
         if across == "sum":
             out[n] = F.col(f"_in_{n}") + F.coalesce(before, F.lit(0))
+        elif across == "max":
+            out[n] = F.greatest(F.col(f"_in_{n}"), before)  # nulls are skipped
         elif across == "last":
             out[n] = F.coalesce(F.col(f"_in_{n}"), before)
         else:
@@ -64,6 +68,11 @@ def running_sum(df: DataFrame, stream: str, order: list[Column], **values: Colum
     return _running(df, stream, order, lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)), "sum", values)
 
 
+def running_max(df: DataFrame, stream: str, order: list[Column], **values: Column) -> DataFrame:
+    """The greatest value so far, this row's included; nulls are skipped."""
+    return _running(df, stream, order, lambda v, w: F.max(v).over(w.rowsBetween(Window.unboundedPreceding, 0)), "max", values)
+
+
 def previous(df: DataFrame, stream: str, order: list[Column], **values: Column) -> DataFrame:
     """The value of the row before, null for the first of a stream.  ``order`` should leave no ties."""
     return _running(df, stream, order, lambda v, w: F.lag(v).over(w), "lag", values)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions import vectors
 from strandline.operators import ranged
 from strandline.operators.fold import ordered_fold
+from strandline.session import materialize
 
 EPSILON = 1e-6
 
@@ -87,23 +88,21 @@ def match_targets(targets: DataFrame, frames: DataFrame, stream: str, ts: str, t
 
 
 def match_targets_greedy(targets: DataFrame, frames: DataFrame, stream: str, ts: str, tie: str) -> DataFrame:
-    """As ``match_targets``, but each frame serves one target only, so dense targets slip to later frames."""
-    a = targets.select(stream, F.col("target").alias("_t"), F.lit(0).alias("_kind"), F.col("k").cast("long").alias("_id"), F.col("target"))
-    b = frames.select(stream, (F.col(ts) + EPSILON).alias("_t"), F.lit(1).alias("_kind"), F.col(tie).cast("long").alias("_id"), F.col(ts).alias("target"))
-
-    def step(waiting: list, row: tuple) -> list[tuple]:
-        kind, number, at = row
-        if kind == 0:
-            waiting.append((number, at))
-            return []
-        if not waiting:
-            return []
-        k, target = waiting.pop(0)
-        return [(int(k), float(target), int(number), float(at))]
+    """As ``match_targets``, but each frame serves one target only, so dense targets slip to later frames.
 
-    return ordered_fold(
-        a.unionByName(b), stream, ("_t", "_kind", "_id"), ("_kind", "_id", "target"), list, step, lambda w: [], f"k int, target double, {tie} bigint, {ts} double"
-    )
+    With a_j the place of the first frame at or after target j, target k gets the frame at place
+    k + max over j <= k of (a_j - j): two running counts and a running maximum over range parts, so one long stream
+    spreads over many tasks.  Targets beyond the last frame get none.
+    """
+    a = targets.select(stream, F.col("target").alias("_t"), F.lit(0).alias("_kind"), F.col("k").cast("long").alias("_id"), F.col("target").alias("_at"))
+    b = frames.select(stream, (F.col(ts) + EPSILON).alias("_t"), F.lit(1).alias("_kind"), F.col(tie).cast("long").alias("_id"), F.col(ts).alias("_at"))
+    order = [F.asc("_t"), F.asc("_kind"), F.asc("_id")]
+    counted = ranged.running_sum(a.unionByName(b).filter(F.col("_t").isNotNull()), stream, order, _frames=F.col("_kind"), _targets=1 - F.col("_kind"))
+    lead = F.when(F.col("_kind") == 0, F.col("_frames") - F.col("_targets") + 1)
+    placed = materialize(ranged.running_max(counted, stream, order, _lead=lead), "greedy")
+    wanted = placed.filter("_kind = 0").select(stream, F.col("_id").cast("int").alias("k"), F.col("_at").alias("target"), (F.col("_targets") - 1 + F.col("_lead")).alias("_place"))
+    served = placed.filter("_kind = 1").select(stream, (F.col("_frames") - 1).alias("_place"), F.col("_id").alias(tie), F.col("_at").alias(ts))
+    return wanted.join(served, [stream, "_place"]).select(stream, "k", "target", tie, ts)
 
 
 def nearest(points: DataFrame, choices: DataFrame, stream: str, at: str, choice: str) -> DataFrame:
@@ -123,17 +122,27 @@ def nearest(points: DataFrame, choices: DataFrame, stream: str, at: str, choice:
 
 
 def rate_limited(frames: DataFrame, stream: str, ts: str, tie: str, fps: float) -> DataFrame:
-    """Keep a row if it comes at least 1 / fps after the last one kept."""
+    """Keep a row if it comes at least 1 / fps after the last one kept; rows without a time go.
+
+    A row that far behind its predecessor is always kept, as the last one kept is no later than that.  So
+    such rows cut a stream into pieces that do not depend on each other, each of which is folded by itself.
+    """
     gap = 1.0 / fps
 
     def step(state: dict, row: tuple) -> list[tuple]:
-        at, number = row
+        name, at, number = row
         if "next" in state and at + EPSILON < state["next"]:
             return []
         state["next"] = at + gap
-        return [(float(at), int(number))]
+        return [(name, float(at), int(number))]
 
-    return ordered_fold(frames, stream, (ts, tie), (ts, tie), dict, step, lambda s: [], f"{ts} double, {tie} bigint")
+    order = [F.asc(ts), F.asc(tie)]
+    slim = frames.filter(F.col(stream).isNotNull() & F.col(ts).isNotNull()).select(stream, ts, tie)
+    near = ranged.previous(slim, stream, order, _before=F.col(ts))
+    reset = F.when(F.col("_before").isNull() | (F.col(ts) + EPSILON >= F.col("_before") + gap), 1).otherwise(0)
+    pieces = ranged.running_sum(near, stream, order, _piece=reset).withColumn("_piece", F.concat_ws("\x01", F.col("_piece").cast("string"), F.col(stream).cast("string")))
+    kind = dict(frames.dtypes)[stream]
+    return ordered_fold(pieces, "_piece", (ts, tie), (stream, ts, tie), dict, step, lambda s: [], f"{stream} {kind}, {ts} double, {tie} bigint").drop("_piece")
 
 
 def neighbour_change(frames: DataFrame, stream: str, ts: str, tie: str, brightness: str, hash_col: str) -> DataFrame:
@@ -164,8 +173,8 @@ def _pair_tokens(h: int) -> list[int]:
     return [((i * 8 + j) << 16) + b[i] * 256 + b[j] for i in range(8) for j in range(i + 1, 8)]
 
 
-def accept(frames: DataFrame, stream: str, ts: str, tie: str, hash_col: str, status_col: str, max_bits: int | None, everywhere: bool) -> DataFrame:
-    """The final status of each row: rejected before, duplicate, or saved.
+def accept(frames: DataFrame, stream: str, ts: str, tie: str, hash_col: str, status_col: str, max_bits: int | None, everywhere: bool, carry: dict[str, str] | None = None) -> DataFrame:
+    """The final status of each row: rejected before, duplicate, or saved.  ``carry`` (double columns and new names) goes along.
 
     A row whose quality is ok is a duplicate if its hash lies within ``max_bits`` of the last saved one, or,
     with ``everywhere``, of any saved one of the stream.  Rows without a hash are saved and compared with nothing.
@@ -198,10 +207,16 @@ def accept(frames: DataFrame, stream: str, ts: str, tie: str, hash_col: str, sta
 
     text = frames.withColumn("_h", F.col(hash_col).cast("string"))
 
+    carry = carry or {}
+
     def parse(state: dict, row: tuple) -> list[tuple]:
-        return step(state, (row[0], None if row[1] is None else int(row[1]), row[2]))
+        return [(*x, *row[3:]) for x in step(state, (row[0], None if row[1] is None else int(row[1]), row[2]))]
 
-    return ordered_fold(text, stream, (ts, tie), (tie, "_h", status_col), dict, parse, lambda s: [], f"{tie} bigint, status string")
+    kept = text.withColumns({f"_c_{n}": F.col(c).cast("double") for c, n in carry.items()})
+    out = ordered_fold(
+        kept, stream, (ts, tie), (tie, "_h", status_col, *[f"_c_{n}" for n in carry.values()]), dict, parse, lambda s: [], f"{tie} bigint, status string" + "".join(f", {n} double" for n in carry.values())
+    )
+    return out
 
 
 def _better(best: tuple | None, x: tuple, rule: Quality, choose_best: bool) -> tuple:
@@ -289,6 +304,20 @@ def segment_ids(frames: DataFrame, cuts: DataFrame, stream: str, ts: str, tie: s
     return both.filter("_kind = 1").select(stream, tie, F.col("segment").cast("int").alias("segment"))
 
 
+def mark_existing(decided: DataFrame, stream: str, ts: str, tie: str, label: Column, outputs: DataFrame) -> DataFrame:
+    """Saved rows whose output is there already become ``existing``.
+
+    ``outputs`` lists stream and label of earlier outputs; within the run the first row of a label makes the output.  A row
+    that exists counts as the last accepted one all the same, so the decisions on duplicates stay as they are.
+    """
+    there = outputs.select(stream, F.col("label").alias("_label")).distinct().withColumn("_there", F.lit(True))
+    named = decided.withColumn("_label", F.when(F.col("status") == "saved", label))
+    first = Window.partitionBy(stream, "_label").orderBy(ts, tie)
+    marked = named.join(there, [stream, "_label"], "left").withColumn("_k", F.when(F.col("_label").isNotNull(), F.row_number().over(first)))
+    status = F.when((F.col("status") == "saved") & (F.col("_there") | (F.col("_k") > 1)), "existing").otherwise(F.col("status"))
+    return marked.withColumn("status", status).drop("_label", "_there", "_k")
+
+
 #: Order in which rejected rows fill up a quota.
 FILL_ORDER = ("duplicate_global", "duplicate", "motion_blur", "blurry", "not_selected")
 

@@ -267,8 +267,8 @@ def quality_status(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("frame_id", "quality")
 
 
-def _decided(spark: SparkSession, d: str, everywhere: bool) -> DataFrame:
-    return streams.accept(_judged(spark, d), "video_path", "ts", "frame_id", "hash_value", "quality", QUALITY.max_hash_bits, everywhere)
+def _decided(spark: SparkSession, d: str, everywhere: bool, carry: dict[str, str] | None = None) -> DataFrame:
+    return streams.accept(_judged(spark, d), "video_path", "ts", "frame_id", "hash_value", "quality", QUALITY.max_hash_bits, everywhere, carry)
 
 
 _CONSECUTIVE = f"""{_ORDERED}, go AS (
@@ -355,7 +355,7 @@ def shortfall(spark: SparkSession, d: str) -> DataFrame:
     SELECT video_path, CAST(place AS INT) AS place, frame_id, status AS reason FROM placed JOIN saved USING (video_path) WHERE place <= 20 - saved"""
 )
 def force_fill(spark: SparkSession, d: str) -> DataFrame:
-    decided = _decided(spark, d, False).join(frames(spark, d).select("frame_id", "ts", "sharpness"), "frame_id")
+    decided = _decided(spark, d, False, {"ts": "ts", "sharpness": "sharpness"})
     return streams.force_fill(decided, "video_path", "ts", "frame_id", "sharpness", QUOTA)
 
 
@@ -857,12 +857,11 @@ def credit_lines(spark: SparkSession, d: str) -> DataFrame:
     """SELECT DISTINCT url, coalesce(trim(regexp_replace(title, '<[^>]+>', '', 'g'), ' '), '') AS title, source, coalesce(width, 0) AS width, coalesce(height, 0) AS height FROM image_results WHERE url IS NOT NULL AND url <> ''"""
 )
 def normalize_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Rows written as payloads of one source, parsed again and normalised."""
+    """Rows written as payloads of one search service, then read by its parser."""
     r = table(spark, d, "image_results").filter("url IS NOT NULL AND url <> ''")
-    hit = F.struct(F.col("url").alias("image"), scalars.strip_html(F.col("title")).alias("title"), "thumbnail", F.col("page_url").alias("url"), "width", "height")
-    payload = r.select(F.to_json(F.struct(F.array(hit).alias("results"))).alias("payload"), "source")
-    parsed = payload.select("source", F.explode(F.from_json("payload", payloads._DDG)["results"]).alias("r"))
-    return parsed.select(F.col("r.image").alias("url"), F.coalesce(F.trim("r.title"), F.lit("")).alias("title"), "source", F.coalesce("r.width", F.lit(0)).alias("width"), F.coalesce("r.height", F.lit(0)).alias("height")).distinct()
+    hit = F.struct(F.col("url").alias("image"), scalars.strip_html(F.col("title")).alias("title"), F.col("source").alias("thumbnail"), F.col("page_url").alias("url"), "width", "height")
+    parsed = payloads.duckduckgo(r.select(F.to_json(F.struct(F.array(hit).alias("results"))).alias("payload")), "payload")
+    return parsed.select("url", "title", F.col("thumbnail").alias("source"), "width", "height").distinct()
 
 
 # ---------------------------------------------------------------- extensions

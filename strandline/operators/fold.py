@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def ordered_fold(
@@ -32,22 +34,26 @@ def ordered_fold(
     """
     kept = tuple(dict.fromkeys((stream, *order, *columns)))
     places = [kept.index(c) for c in columns]
-    names = [p.strip().split(" ")[0] for p in schema.split(",")]
-    kind = dict(df.dtypes)[stream]
+    whole = f"`{stream}` {dict(df.dtypes)[stream]}, {schema}"
+    form = to_arrow_schema(StructType.fromDDL(whole))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(form), form)], schema=form)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[0] != current:
+            values = [c.to_pylist() for c in batch.columns]
+            for name, row in zip(values[0], zip(*[values[p] for p in places])):
+                if name != current:
                     if current is not None:
                         out += [(current, *x) for x in finish(state)]
-                    current, state = row[0], start()
-                out += [(current, *x) for x in step(state, tuple(row[p] for p in places))]
-            yield pd.DataFrame(out, columns=[stream, *names])
+                    current, state = name, start()
+                out += [(current, *x) for x in step(state, row)]
+            yield batch_of(out)
         if current is not None:
-            yield pd.DataFrame([(current, *x) for x in finish(state)], columns=[stream, *names])
+            yield batch_of([(current, *x) for x in finish(state)])
 
     slim = df.select(*kept).where(df[stream].isNotNull())
-    return slim.repartition(stream).sortWithinPartitions(stream, *order).mapInPandas(run, f"`{stream}` {kind}, {schema}")
+    return slim.repartition(stream).sortWithinPartitions(stream, *order).mapInArrow(run, whole)

@@ -184,9 +184,9 @@ def accept(frames: DataFrame, stream: str, ts: str, tie: str, hash_col: str, sta
         number, h, status = row
         if status != "ok" or max_bits is None:
             return [(int(number), "saved" if status == "ok" else status)]
-        if h is None or h != h:
+        if h is None:
             return [(int(number), "saved")]
-        h = int(h) & 0xFFFFFFFFFFFFFFFF
+        h &= 0xFFFFFFFFFFFFFFFF
         last = state.get("last")
         if last is not None and (h ^ last).bit_count() <= max_bits:
             return [(int(number), "duplicate")]

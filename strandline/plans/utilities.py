@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import nested, ranged, relational, streams
-from strandline.plans.queries import _CUT_SQL, _FRAMES, _LATEST, _META, CUTS, QUALITY, frames, latest_states, meta, query
-from strandline.session import materialize, table
+from strandline.operators import ranged, relational, streams
+from strandline.plans.queries import _CUT_SQL, _FRAMES, _LATEST, _META, _NODES, CUTS, QUALITY, _report_tables, frames, latest_states, meta, query
+from strandline.session import table
 
 
 @query(
@@ -83,7 +83,11 @@ def unique_file_names(spark: SparkSession, d: str) -> DataFrame:
     return relational.unique_names(r.select("result_id", base.alias("base")), "base", "result_id", "name").select("result_id", "name")
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT job_id, position, sha1(unhex('{scalars.URL_NAMESPACE}') || encode('queue:' || job_id || ':' || position)) AS x
+      FROM (SELECT DISTINCT job_id, position FROM queue_items WHERE job_id IS NOT NULL AND position IS NOT NULL))
+    SELECT job_id, position, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || format('{{:02x}}', (CAST('0x' || x[17:18] AS INT) & 63) | 128) || x[19:20] || '-' || x[21:32] AS stable_id FROM h"""
+)
 def name_based_ids(spark: SparkSession, d: str) -> DataFrame:
     """An identifier for each place of a job that is the same on every run."""
     q = table(spark, d, "queue_items").filter("job_id IS NOT NULL AND position IS NOT NULL").select("job_id", "position").distinct()
@@ -167,35 +171,54 @@ def worker_budget(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", scalars.worker_budget(part(17, "int"), part(40, "double"), part(4, "int") + 1, part(5, "int"), part(400, "int"), part(500, "double")).alias("workers"))
 
 
-STAGES = nested.Root("reports", {"stage_timings": "string", "shortfall_reasons": "string", "scene_times": "string", "selected_times": "string", "saved": "int", "requested": "int"})
-
-
-def _reports(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested.report_nodes(table(spark, d, "queue_items"), STAGES)
-    return nested.related_tables(nodes, STAGES)["reports"].withColumnRenamed("record_key", "item_id")
-
-
-@query()
+@query(
+    f"""{_NODES}, stages AS (SELECT unnest(json_keys(j -> 'stage_timings')) AS stage, j -> 'stage_timings' AS s FROM o WHERE json_type(j -> 'stage_timings') = 'OBJECT'),
+    t AS (SELECT stage, TRY_CAST(json_extract_string(s -> stage, '$.ms') AS DOUBLE) AS ms, TRY_CAST(json_extract_string(s -> stage, '$.count') AS INT) AS n FROM stages)
+    SELECT stage, round(sum(CASE WHEN isnan(ms) THEN 0.0 ELSE ms END), 3) AS ms, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_reports FROM t GROUP BY stage"""
+)
 def report_stage_timings(spark: SparkSession, d: str) -> DataFrame:
     """Milliseconds and counts of each stage over the latest reports, summed before rounding."""
-    stages = F.from_json("stage_timings", "MAP<STRING, STRUCT<ms: STRING, count: STRING>>")
-    x = _reports(spark, d).select(F.explode(stages).alias("stage", "t")).select("stage", F.col("t.ms").try_cast("double").alias("ms"), F.col("t.count").try_cast("long").alias("n"))
-    return x.groupBy("stage").agg(F.round(F.sum(F.nanvl("ms", F.lit(0.0))), 3).alias("ms"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_reports"))
+    x = _report_tables(spark, d)["stage_timings"]
+    return x.groupBy(F.col("name").alias("stage")).agg(F.round(F.sum(F.nanvl("ms", F.lit(0.0))), 3).alias("ms"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_reports"))
 
 
-@query()
+@query(
+    f"""{_NODES}, r AS (SELECT TRY_CAST(json_extract_string(j, '$.requested') AS INT) AS requested, TRY_CAST(json_extract_string(j, '$.saved') AS INT) AS saved FROM o)
+    SELECT count(*) AS n_reports, CAST(sum(saved) AS BIGINT) AS saved, CAST(sum(greatest(coalesce(requested, 0) - coalesce(saved, 0), 0)) AS BIGINT) AS shortfall FROM r"""
+)
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
     """Saved and missing pictures over the latest reports."""
     missing = F.greatest(F.coalesce("requested", F.lit(0)) - F.coalesce("saved", F.lit(0)), F.lit(0))
-    return _reports(spark, d).agg(F.count(F.lit(1)).alias("n_reports"), F.sum("saved").alias("saved"), F.sum(missing).alias("shortfall"))
+    return _report_tables(spark, d)["reports"].agg(F.count(F.lit(1)).alias("n_reports"), F.sum("saved").alias("saved"), F.sum(missing).alias("shortfall"))
 
 
-@query()
+def _times(name: str) -> str:
+    return f"""(SELECT item_id, k, TRY_CAST(e AS DOUBLE) AS v FROM (SELECT item_id, unnest(range(CAST(json_array_length(j -> '{name}') AS BIGINT))) AS k,
+      unnest(CAST(json_extract_string(j -> '{name}', '$[*]') AS VARCHAR[])) AS e FROM o WHERE json_type(j -> '{name}') = 'ARRAY') WHERE TRY_CAST(e AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(e AS DOUBLE)))"""
+
+
+@query(
+    f"""{_NODES}, a AS {_times("scene_times")}, b AS {_times("selected_times")},
+    n AS (SELECT a.item_id, a.k, a.v, b.v AS s, row_number() OVER (PARTITION BY a.item_id, a.k ORDER BY abs(b.v - a.v), b.v) AS r FROM a LEFT JOIN b USING (item_id))
+    SELECT item_id, CAST(k + 1 AS INT) AS scene, v AS time_seconds, coalesce(s, v) AS representative FROM n WHERE r = 1"""
+)
 def report_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Each scene time of the reports with the nearest selected time (the scene itself if there are none)."""
-    r = materialize(_reports(spark, d), "reports")
-    times = lambda c: F.filter(F.transform(F.from_json(c, "ARRAY<STRING>"), lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
-    chosen = r.select("item_id", F.explode(times("selected_times")).alias("selected"))
-    scenes = r.select("item_id", F.posexplode(times("scene_times")).alias("place", "time_seconds"))
-    points = scenes.select("item_id", (F.col("place") + 1).alias("scene"), "time_seconds")
+    t = _report_tables(spark, d)
+    times = lambda name: t[name].filter("value IS NOT NULL AND NOT isnan(value)").withColumnRenamed("record_key", "item_id")
+    points = times("scene_times").select("item_id", (F.col("place") + 1).alias("scene"), F.col("value").alias("time_seconds"))
+    chosen = times("selected_times").select("item_id", F.col("value").alias("selected"))
     return streams.nearest(points, chosen, "item_id", "time_seconds", "selected").withColumnRenamed("nearest", "representative")
+
+
+_KINDS = "VALUES " + ", ".join(f"('{s}', '{k}')" for k, ss in scalars.SUFFIX_KINDS.items() for s in ss)
+
+
+@query(
+    rf"""WITH kinds(suffix, kind) AS ({_KINDS}), f AS (SELECT DISTINCT url FROM image_results WHERE url IS NOT NULL),
+    x AS (SELECT regexp_extract(lower(url), '(\.[^./]+)$', 1) AS suffix, lower(url) LIKE '%/static/%' AS web FROM f)
+    SELECT CASE WHEN web THEN 'frontend_static_asset' ELSE coalesce(kind, 'other') END AS kind, count(*) AS n FROM x LEFT JOIN kinds USING (suffix) GROUP BY 1"""
+)
+def size_by_category(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "image_results").select("url").filter(F.col("url").isNotNull()).distinct()
+    return f.groupBy(scalars.size_category(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -32,6 +32,7 @@ One row comes out for each row that goes in.
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from collections.abc import Iterator
 
@@ -83,6 +84,10 @@ def _bytes_of(encoding: str) -> dict[str, int]:
 _BYTES = {e: _bytes_of(e) for e in {*WRONG, *(e for _, e in SWAPPED)}}
 _SWAP = {(t, e): {c: bytes([b]).decode(t, "replace") for c, b in _BYTES[e].items()} for t, e in SWAPPED}
 
+_CYRILLIC_STATES = {1 + _N_WRONG + k: p for k, p in enumerate(SWAPPED) if p[0] != "cp1252"}
+_ONE_LETTER_WORDS = set("авикосуя")
+_NEAR_WORD = 40
+
 _OPENING = set("«“‘„‚¿¡‹")
 _CLOSING = set("»”…›")
 _DASHES = set("–—•·―‐‑−")
@@ -230,7 +235,7 @@ _LETTER_COST = {c: 0.5 + 0.04 * k for k, c in enumerate("оеаинтсрвлк
 
 
 def _cyrillic_cost(before: str, run: str, meant: list[str], after: str, clean: list[float]) -> float | None:
-    """The cost of a stretch as a Cyrillic word in a wrong one-byte encoding: letters in a row, capitals only in front or throughout."""
+    """The cost of a stretch as a Cyrillic word in a wrong one-byte encoding; None if it can be none."""
     if before.isalpha() or after.isalpha() or len(run) > _LONGEST_WORD:
         return None
     letters = [y for y in meant if y.isalpha()]
@@ -238,15 +243,22 @@ def _cyrillic_cost(before: str, run: str, meant: list[str], after: str, clean: l
         return None  # right letters among them
     if len(letters) < 3 and not all(0xC0 <= ord(x) < 0x100 or 0x410 <= ord(x) < 0x450 for x, y in zip(run, meant) if y.isalpha()):
         return None  # too short to tell from a cut sequence
-    # The same letters in lower case behind a capital are a word; anything else is not.
-    capitals = all(y.isupper() for y in letters) and not all(x.isupper() for x in run if x.isalpha())
-    total = 2.0
-    for i, (x, y) in enumerate(zip(run, meant)):
-        if y.isalpha():
-            total += _LETTER_COST.get(y.lower(), 4.0) + (5.0 if i and y.isupper() and (meant[i - 1].islower() or capitals) else 0.0)
-        else:
-            total += clean[i] if x == y else 1.5 + _clean_cost(meant[i - 1] if i else before, y, meant[i + 1] if i + 1 < len(meant) else after)
-    return total
+    if 4 * len(letters) < 3 * len(run):
+        return None
+    total = _word_cost(meant)
+    if any(x.isalpha() and _script(x) == "cyrillic" for x in run):
+        # Cyrillic either way: the clean state, corrected by what the one reading costs more as a word than the other.
+        return sum(clean) + total - _word_cost(list(run)) + 1.0
+    marks = sum(clean[i] if x == y else 1.5 + _clean_cost(meant[i - 1] if i else before, y, meant[i + 1] if i + 1 < len(meant) else after) for i, (x, y) in enumerate(zip(run, meant)) if not y.isalpha())
+    return 2.0 + total + marks
+
+
+def _word_cost(word: list[str]) -> float:
+    """The letters of a Cyrillic word by their frequency, and its capitals: one in front costs nothing, all of them little."""
+    letters = [c for c in word if c.isalpha()]
+    total = sum(_LETTER_COST.get(c.lower(), 4.0) for c in letters)
+    total += 1.5 if len(letters) > 2 and all(c.isupper() for c in letters) else 0.0
+    return total + sum(5.0 for a, b in zip(letters, letters[1:]) if b.isupper() and a.islower())
 
 
 def emissions(before: str, run: str, after: str) -> tuple[np.ndarray, list[str | None]]:
@@ -400,13 +412,15 @@ class Labeller:
 
     def label(self, text: str) -> list[tuple[int, int, int, str]]:
         """The wrongly decoded stretches: from, to, state and restored text."""
-        spans, steps = [], []
+        spans, steps, short = [], [], []
         n, k = len(text), 0
         for k, z in _stretches(text):
             cost, back, plain = self._cost(_context(text[k - 1]) if k else "", text[k:z], _context(text[z]) if z < n else "")
             if not plain:
                 spans.append((k, z, back))
                 steps.append(cost)
+            elif z - k == 1 and not (k and text[k - 1].isalpha()) and not (z < n and text[z].isalpha()):
+                short.append((k, z))
         if not spans:
             return []
         best = steps[0] + _CHANGES[0]
@@ -422,7 +436,23 @@ class Labeller:
             state = int(origin[state])
             path.append(state)
         path.reverse()
-        return [(a, z, s, back[s]) for (a, z, back), s in zip(spans, path) if s and back[s] is not None and (back[s] != text[a:z] or s == _LOST)]
+        found = [(a, z, s, back[s]) for (a, z, back), s in zip(spans, path) if s and back[s] is not None and (back[s] != text[a:z] or s == _LOST)]
+        return self._with_short_words(text, found, short) if short else found
+
+    def _with_short_words(self, text: str, found: list, short: list[tuple[int, int]]) -> list[tuple[int, int, int, str]]:
+        """Words of one letter close to a word of a Cyrillic state belong to that state if it makes them a word."""
+        known = [f for f in found if f[2] in _CYRILLIC_STATES]
+        if not known:
+            return found
+        starts = [f[0] for f in known]
+        for a, z in short:
+            k = bisect.bisect_left(starts, a)
+            near = [f for f in known[max(k - 1, 0) : k + 1] if min(abs(f[0] - z), abs(a - f[1])) <= _NEAR_WORD]
+            for f in near[:1]:
+                letter = _SWAP[_CYRILLIC_STATES[f[2]]].get(text[a:z])
+                if letter and letter.lower() in _ONE_LETTER_WORDS:
+                    found.append((a, z, f[2], letter))
+        return sorted(found)
 
     def restore(self, text: str) -> tuple[str, list[str], int, int]:
         """The restored text, the states used, the number of stretches, and of those that stay wrong."""

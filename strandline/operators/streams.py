@@ -97,11 +97,10 @@ def match_targets_greedy(targets: DataFrame, frames: DataFrame, stream: str, ts:
     a = targets.select(stream, F.col("target").alias("_t"), F.lit(0).alias("_kind"), F.col("k").cast("long").alias("_id"), F.col("target").alias("_at"))
     b = frames.select(stream, (F.col(ts) + EPSILON).alias("_t"), F.lit(1).alias("_kind"), F.col(tie).cast("long").alias("_id"), F.col(ts).alias("_at"))
     order = [F.asc("_t"), F.asc("_kind"), F.asc("_id")]
-    counted = ranged.running_sum(a.unionByName(b).filter(F.col("_t").isNotNull()), stream, order, _frames=F.col("_kind"), _targets=1 - F.col("_kind"))
-    lead = F.when(F.col("_kind") == 0, F.col("_frames") - F.col("_targets") + 1)
-    placed = materialize(ranged.running_max(counted, stream, order, _lead=lead), "greedy")
-    wanted = placed.filter("_kind = 0").select(stream, F.col("_id").cast("int").alias("k"), F.col("_at").alias("target"), (F.col("_targets") - 1 + F.col("_lead")).alias("_place"))
-    served = placed.filter("_kind = 1").select(stream, (F.col("_frames") - 1).alias("_place"), F.col("_id").alias(tie), F.col("_at").alias(ts))
+    # At equal times the frame comes behind the target it serves.
+    placed = materialize(ranged.successor_places(a.unionByName(b).filter(F.col("_t").isNotNull()), stream, order, F.col("_kind") == 0), "greedy")
+    wanted = placed.filter("_kind = 0").select(stream, F.col("_id").cast("int").alias("k"), F.col("_at").alias("target"), "_place")
+    served = placed.filter("_kind = 1").select(stream, "_place", F.col("_id").alias(tie), F.col("_at").alias(ts))
     return wanted.join(served, [stream, "_place"]).select(stream, "k", "target", tie, ts)
 
 

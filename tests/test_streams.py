@@ -156,3 +156,31 @@ def test_running_values_over_parts(spark, seed):
     assert {k: (x[k]["x"], y[k]["x"], z[k]["x"]) for k in x} == up
     assert {r["k"]: r["x"] for r in ranged.running_last(df, "s", [F.desc("k")], x=F.col("v")).collect()} == down
     assert ranged.previous(df.limit(0), "s", order, x=F.col("v")).count() == 0
+
+
+@pytest.mark.parametrize("parts", ["1", "5", "23"])
+def test_greedy_match_over_parts(spark, parts):
+    """One hot stream and small ones, dense and sparse targets, over any number of range parts."""
+    import random
+
+    rng = random.Random(int(parts))
+    frames = [(rng.choice(["hot"] * 6 + ["a", "b"]), round(rng.uniform(0, 40), 2), k) for k in range(400)]
+    targets = [(v, k, float(t)) for v in ("hot", "a", "b", "none") for k, t in enumerate(sorted(rng.uniform(0, 45) for _ in range(120)))]
+    expected = set()
+    for v in ("hot", "a", "b"):
+        mine, at = sorted((t, i) for s, t, i in frames if s == v), 0
+        for _, k, t in sorted(x for x in targets if x[0] == v):
+            while at < len(mine) and mine[at][0] + 1e-6 < t:
+                at += 1
+            if at < len(mine):
+                expected.add((v, k, mine[at][1]))
+                at += 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = streams.match_targets_greedy(
+            spark.createDataFrame(targets, "v string, k int, target double"), spark.createDataFrame(frames, "v string, ts double, frame_id bigint"), "v", "ts", "frame_id"
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r["v"], r["k"], r["frame_id"]) for r in got} == expected and len(got) == len(expected)

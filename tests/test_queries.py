@@ -3,7 +3,7 @@ import os
 import pytest
 
 from strandline.plans import queries as core
-from strandline.plans import utilities  # noqa: F401
+from strandline.plans import lifecycle, utilities  # noqa: F401
 from tests.compare import connection, rows_of, rows_of_sql
 from tests.conftest import SMALL
 
